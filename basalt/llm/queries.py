@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm import chat_format, quality_rules, sharding
+from basalt.llm import chat_format, quality_rules, sharding, simhash_dedup, toxicity
 from basalt.llm._common import table
 
 
@@ -69,10 +69,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op4_sharding": op4_sharding,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
