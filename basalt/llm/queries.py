@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm import chat_format, packing, quality_rules, sharding, simhash_dedup, toxicity
+from basalt.llm import chat_format, decontaminate, packing, quality_rules, sharding, simhash_dedup, toxicity
 from basalt.llm._common import table
 
 
@@ -87,6 +87,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 
