@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm import chat_format, decontaminate, packing, quality_rules, sharding, simhash_dedup, toxicity
+from basalt.llm import chat_format, decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity
 from basalt.llm._common import table
 
 
@@ -62,6 +62,17 @@ from esc group by conv_id
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n_lines",
+        "n_dropped",
+        F.octet_length("text").cast("bigint").alias("kept_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
     return rows.select(
@@ -69,6 +80,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -98,7 +113,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_decontamination": op8_decontamination,
