@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm import chat_format, decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity
+from basalt.llm import chat_format, decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup, toxicity
 from basalt.llm._common import table
 
 
@@ -110,6 +110,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -120,6 +125,7 @@ QUERIES = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
