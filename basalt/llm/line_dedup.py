@@ -91,7 +91,8 @@ def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     lists = wanted.groupBy("th").agg(F.collect_list("line").alias("lines"))
     texts = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
-    return texts.join(lists, "th").select("text", "lines").mapInArrow(run, "gen bigint, tokens array<string>").dropDuplicates(["gen"])
+    # The same plan at every size: texts and lists meet by a shuffle.
+    return texts.join(lists.hint("merge"), "th").select("text", "lines").mapInArrow(run, "gen bigint, tokens array<string>").dropDuplicates(["gen"])
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
@@ -122,7 +123,7 @@ def line_dedup(
     hit = lines.join(gens, "gen").groupBy("th").agg(F.collect_list("line").alias("_drop"), F.sum("words").alias("_words"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     hit = written(hit, "dropped-lines").withColumnRenamed("th", "_th")
-    joined = docs.select(*columns, F.xxhash64("text").alias("_hash")).join(hit, F.col("_hash") == F.col("_th"), "left")
+    joined = docs.select(*columns, F.xxhash64("text").alias("_hash")).join(hit.hint("merge"), F.col("_hash") == F.col("_th"), "left")
     total = F.size(F.split(F.btrim(F.col("text")), r"\s+"))
     drop = F.when(F.col("_words") <= max_share * total, F.col("_drop")).otherwise(F.array().cast("array<int>"))
     joined = joined.withColumn("_drop", drop).withColumn("_all", F.split("text", "\n"))
