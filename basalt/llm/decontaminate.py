@@ -157,4 +157,4 @@ def _leaks_of_width(docs: DataFrame, shape: DataFrame, items: DataFrame, width:
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose id leaks no item; rows with a null id stay."""
     bad = find_leaks(docs, items).filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti")

@@ -123,4 +123,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept; an id goes if no row of it is kept, and rows with a null id stay."""
     found = quality_classifier(docs, labels, **options).filter(F.col("doc_id").isNotNull())
     bad = found.groupBy("doc_id").agg(F.max("p_quality").alias("p"), F.max("kept").alias("kept")).filter(~F.col("kept"))
-    return docs.join(bad.select("doc_id"), "doc_id", "left_anti")
+    return docs.join(bad.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")

@@ -192,4 +192,4 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows with a null id stay."""
     found = simhash_dedup(docs, shingle).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti")

@@ -309,7 +309,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     parts = max(n, -(-shared.count() // PART))
     lists = shared.groupBy("tid").agg(F.collect_list("packed").alias("packed")).join(texts.select("tid", "first"), "tid")
     lists = lists.withColumnRenamed("tid", "of")
-    chosen = base.join(lists, (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("tid", "text", "packed")
+    chosen = base.join(lists.hint("merge"), (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("tid", "text", "packed")
     runs = chosen.mapInArrow(_make_runs(parts), RUN_SCHEMA)
     ranges = runs.groupBy("part").applyInArrow(_repeated, "tid bigint, start bigint, end bigint")
     whole = texts.filter("copies > 1").select("tid", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
@@ -335,5 +335,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tid"))
     found = repeated_ranges(docs)
-    joined = base.join(found, "tid", "left").select("doc_id", "text", "starts", "ends")
+    joined = base.join(found.hint("merge"), "tid", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
