@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import basalt.operators.relational
+import basalt.operators.scalar
 import basalt.operators.tpch  # noqa: F401
 from basalt.plans.registry import OPERATORS
 
