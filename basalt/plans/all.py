@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import basalt.operators.dml
+import basalt.operators.quantified
 import basalt.operators.relational
 import basalt.operators.scalar
-import basalt.operators.tpch  # noqa: F401
+import basalt.operators.tpch
+import basalt.operators.vector  # noqa: F401
 from basalt.plans.registry import OPERATORS
 
 __all__ = ["OPERATORS"]
