@@ -137,14 +137,14 @@ def fuse(modes: dict[str, DataFrame], method: str = "rrf", weights: dict[str, fl
     """Fusion of ranked (id, score) lists: id, score, modes.
 
     rrf: sum of weight / (constant + rank) plus a bonus for ids in several lists; linear: weighted mean of
-    scores; composite: 0.7 rrf + 0.3 mean score; max: greatest weighted score.
+    scores; composite: 0.7 rrf + 0.3 mean score; max: greatest weighted score. The lists are results of top-k
+    searches, so each is as short as its k.
     """
     weights = weights or {}
     rows = None
     for name, frame in modes.items():
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-        top = frame.orderBy(F.desc("score"), "id").limit(1000).withColumn("rank", rank)  # ranked lists are short
-        part = top.select("id", "score", "rank", F.lit(float(weights.get(name, 1.0))).alias("w"))
+        part = frame.withColumn("rank", rank).select("id", "score", "rank", F.lit(float(weights.get(name, 1.0))).alias("w"))
         rows = part if rows is None else rows.unionByName(part)
     grouped = rows.groupBy("id").agg(
         F.sum(F.col("w") / (constant + F.col("rank"))).alias("rrf"),
@@ -203,8 +203,8 @@ OPERATORS["vector_search_filtered"] = Operator(
     "2.10",
 )
 OPERATORS["vector_range"] = Operator(
-    lambda spark, d: within(_vectors(spark, d), _first(spark, d), 10.5).select("id"),
-    f"SELECT id FROM {_ALL} a, (SELECT v AS q FROM {_ALL} WHERE id = 0) WHERE {_DUCK['euclidean']} <= 10.5",
+    lambda spark, d: within(_vectors(spark, d), _first(spark, d), 1.4).select("id"),
+    f"SELECT id FROM {_ALL} a, (SELECT v AS q FROM {_ALL} WHERE id = 0) WHERE {_DUCK['euclidean']} <= 1.4",
     "2.10",
 )
 OPERATORS["vector_ivf"] = Operator(lambda spark, d: InvertedLists(_vectors(spark, d).select("id", "v"), 16).search(_first(spark, d), 10, 16).select("id", F.round("distance", 5).alias("distance")),
@@ -215,17 +215,17 @@ def _modes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     v = _vectors(spark, sf_dir)
     near = search(v.select("id", "v"), _first(spark, sf_dir), 50, "cosine")
     plain = v.select("id", (1 - F.least(F.col("id") * 0.01, F.lit(0.5))).alias("score"))
-    return {"sql": plain, "vector": near}
+    return {"sql": plain.orderBy(F.desc("score"), "id").limit(50), "vector": near}
 
 
 _MODES = f"""WITH near AS (SELECT id, 1 - ({_DUCK['cosine']}) AS score FROM {_ALL} a, (SELECT v AS q FROM {_ALL} WHERE id = 0) ORDER BY score DESC, id LIMIT 50),
- plain AS (SELECT id, 1 - least(id * 0.01::DOUBLE, 0.5) AS score FROM {_ALL})"""
+ plain AS (SELECT id, 1 - least(id * 0.01::DOUBLE, 0.5) AS score FROM {_ALL} ORDER BY score DESC, id LIMIT 50)"""
 OPERATORS["hybrid_search"] = Operator(
     lambda spark, d: hybrid(*_modes(spark, d).values()).select("id", F.round("score", 6).alias("score")),
     f"{_MODES} SELECT id, round(0.5 * p.score + 0.5 * n.score, 6) AS score FROM plain p JOIN near n USING (id) ORDER BY 0.5 * p.score + 0.5 * n.score DESC, id LIMIT 10", "2.10")
 _RANKED = f"""{_MODES}, ranked AS (
  SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM near
- UNION ALL SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM plain QUALIFY r <= 1000),
+ UNION ALL SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM plain),
  g AS (SELECT id, sum(1 / (60 + r)) AS rrf, avg(score) AS mean, max(score) AS top, count(*) AS modes FROM ranked GROUP BY id)"""
 for _name, _score in (("rrf", "rrf + CASE WHEN modes > 1 THEN 0.1 ELSE 0 END"), ("linear", "mean"), ("composite", "0.7 * rrf + 0.3 * mean"), ("max", "top")):
     OPERATORS[f"fusion_{_name}"] = Operator(

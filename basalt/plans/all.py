@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import basalt.operators.audit
 import basalt.operators.dml
+import basalt.operators.geo
+import basalt.operators.graph
+import basalt.operators.metadata
 import basalt.operators.quantified
 import basalt.operators.relational
 import basalt.operators.scalar
+import basalt.operators.security
+import basalt.operators.text
 import basalt.operators.tpch
-import basalt.operators.vector  # noqa: F401
+import basalt.operators.vector
+import basalt.streaming.windows  # noqa: F401
 from basalt.plans.registry import OPERATORS
 
 __all__ = ["OPERATORS"]
