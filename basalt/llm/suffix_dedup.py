@@ -6,7 +6,8 @@ leftmost of equals): equal strings have their anchors at the same offset, and an
 of neighbouring starts, about 75 of them. So the suffix array is sparse and the result still exact:
 
 1. Anchors (gram hash, text, place, range of offsets) of all texts, from each batch's bytes at once; those whose
-   gram occurs once are dropped after one shuffle of 24-byte rows, streamed in order of the hash.
+   gram occurs once are dropped after one shuffle of 24-byte rows, streamed in order of the hash. Rows that find a partner in
+   their own batch are spread evenly, so a very common gram does not gather in one task.
 2. Each worker sorts the suffixes at its remaining anchors, equal ones as one, and front-codes the run: the
    length shared with the suffix before, and the rest. Runs are exchanged by gram hash.
 3. Each part's runs are merged by a loser tree whose players keep the prefix length they share with the last
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, tid and packed (place << 16 | least offset << 8 | greatest offset) of texts (tid, text) of LENGTH bytes or more."""
+    """h, tid, packed (place << 16 | least offset << 8 | greatest offset) and sure of texts (tid, text) of LENGTH bytes or more."""
     for batch in batches:
         tids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = _texts(batch.column(1))
@@ -110,17 +112,36 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             piece, place, lo, hi, h = _anchors(data[base : group[-1, 2]], group[:, 1] - base, group[:, 2] - base)
             text = group[piece, 0]
             packed = (place + base - offsets[text]) << 16 | lo << 8 | hi
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tids[text]), pa.array(packed)], names=["h", "tid", "packed"])
+            yield _settled(np.stack([h.view(np.int64), tids[text], packed], axis=1))
+
+
+def _settled(rows: np.ndarray) -> pa.RecordBatch:
+    """Rows (h, tid, packed), sure where another row here has the same h, and one of these once more as not sure.
+
+    Sure rows need not meet the others, so they can go anywhere: of a very common gram only
+    one row from each batch goes to the place of the gram.
+    """
+    rows = np.unique(rows, axis=0)
+    same = rows[1:, 0] == rows[:-1, 0]
+    sure = np.append(same, False) | np.insert(same, 0, False)
+    first = sure & ~np.insert(same, 0, False)
+    rows, sure = np.concatenate([rows, rows[first]]), np.concatenate([sure, np.zeros(first.sum(), bool)])
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)), pa.array(sure)], names=["h", "tid", "packed", "sure"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """tid and packed of rows whose h another row has too; rows come sorted by h, tid and packed, and equal ones count once.
+    """tid and packed of rows that are sure or whose h another row has too.
 
-    Only the last row waits for the next batch, so a very common gram takes no memory.
+    The others come sorted by h, tid and packed, and equal ones count once. Only the last row waits for
+    the next batch, so a common gram takes no memory.
     """
     wait, linked = np.zeros((0, 3), np.int64), False
     for batch in batches:
-        rows = np.concatenate([wait, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]], axis=1)
+        sure = batch.column(3).to_numpy(zero_copy_only=False)
+        if sure.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[sure, 1]), pa.array(rows[sure, 2])], names=["tid", "packed"])
+        rows = np.concatenate([wait, rows[~sure]])
         rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))] if len(rows) else rows
         if not len(rows):
             continue
@@ -203,22 +224,32 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
 
 
 RUN_COLUMNS = ("shared", "sizes", "tails", "left_sizes", "lefts", "lo", "hi", "counts", "refs")
-RUN_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in RUN_COLUMNS)
+RUN_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in (*RUN_COLUMNS, "done"))
 
 
 def _make_runs(parts: int):
-    """Sorted, front-coded runs of the suffixes at anchors `packed` of texts (tid, text, packed), one row for each part."""
+    """Sorted, front-coded runs of the suffixes at anchors `packed` of texts (tid, text, packed), one row for each part.
+
+    Anchors that are alike on both sides are repeated strings for certain: their ranges go out as `done`, to a part picked by
+    the task, and one of them stands for all in the run.
+    """
 
     def close(held: dict) -> Iterator[pa.RecordBatch]:
+        ranges = [(tid, p - hi, p - lo + LENGTH) for entries in held.values() for (_, _, lo, hi), refs in entries.items() if len(refs) > 1 for tid, p in refs]
+        spread = TaskContext.get().partitionId() * 7919
+        for i in range(0, len(ranges), PART):
+            done = np.array(ranges[i : i + PART], np.int64).tobytes()
+            empty = [pa.array([None], pa.binary()) for _ in RUN_COLUMNS]
+            yield pa.RecordBatch.from_arrays([pa.array([(spread + i) % parts], pa.int32()), *empty, pa.array([done], pa.binary())], names=["part", *RUN_COLUMNS, "done"])
         for part, entries in held.items():
-            rows = sorted(entries.items())
+            rows = sorted((k, v[:1]) for k, v in entries.items())
             shared, tails = front_code([k[0] for k, _ in rows])
             refs = [np.array(v, np.int64) for _, v in rows]
             columns = (
                 bytes(shared), bytes(map(len, tails)), b"".join(tails), bytes(len(k[1]) for k, _ in rows), b"".join(k[1] for k, _ in rows),
                 bytes(k[2] for k, _ in rows), bytes(k[3] for k, _ in rows), np.array([len(v) for v in refs], np.int32).tobytes(), np.concatenate(refs).tobytes(),
             )
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)], names=["part", *RUN_COLUMNS])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in columns), pa.array([None], pa.binary())], names=["part", *RUN_COLUMNS, "done"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[tuple, list]] = {}
@@ -248,7 +279,10 @@ def _split(sizes: bytes, data: bytes) -> list[bytes]:
 def _repeated(table: pa.Table) -> pa.Table:
     """tid, start and end of byte ranges that repeated strings cover, from the runs of one part."""
     runs, more = [], []
+    out = [np.frombuffer(d, np.int64).reshape(-1, 3) for d in table.column("done").to_pylist() if d]
     for row in table.select(RUN_COLUMNS).to_pylist():
+        if row["shared"] is None:
+            continue
         suffixes, last = [], b""
         for n, tail in zip(row["shared"], _split(row["sizes"], row["tails"]), strict=True):
             last = last[:n] + tail
@@ -257,6 +291,9 @@ def _repeated(table: pa.Table) -> pa.Table:
         refs = np.split(np.frombuffer(row["refs"], np.int64).reshape(-1, 2), np.cumsum(counts)[:-1])
         runs.append((suffixes, list(row["shared"])))
         more.append((_split(row["left_sizes"], row["lefts"]), row["lo"], row["hi"], refs))
+    if not runs:
+        rows = np.concatenate(out)
+        return pa.table({"tid": rows[:, 0], "start": rows[:, 1], "end": rows[:, 2]})
     order, shared = merge(runs)
     n = len(order)
     lefts = [more[r][0][i] for r, i in order]
@@ -279,7 +316,6 @@ def _repeated(table: pa.Table) -> pa.Table:
     step = np.diff(found, axis=1)
     entry, first = np.nonzero(step == 1)
     _, past = np.nonzero(step == -1)
-    out: list[np.ndarray] = []
     for e, d0, d1 in zip(entry.tolist(), first.tolist(), (past - 1).tolist(), strict=True):
         r = refs[e]
         out.append(np.stack([r[:, 0], r[:, 1] - d1, r[:, 1] - d0 + LENGTH], axis=1))
@@ -304,8 +340,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     base = docs.filter(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
     texts = written(base.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("bigint").alias("size")), "texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = base.select("tid", "text").mapInArrow(_find_anchors, "h bigint, tid bigint, packed bigint")
-    shared = written(anchors.repartition(n, "h").sortWithinPartitions("h", "tid", "packed").mapInArrow(_shared, "tid bigint, packed bigint"), "anchors")
+    anchors = base.select("tid", "text").mapInArrow(_find_anchors, "h bigint, tid bigint, packed bigint, sure boolean")
+    spread = F.when(F.col("sure"), F.xxhash64("tid", "packed")).otherwise(F.col("h"))
+    shared = written(anchors.repartition(n, spread).sortWithinPartitions("sure", "h", "tid", "packed").mapInArrow(_shared, "tid bigint, packed bigint"), "anchors")
     parts = max(n, -(-shared.count() // PART))
     lists = shared.groupBy("tid").agg(F.collect_list("packed").alias("packed")).join(texts.select("tid", "first"), "tid")
     lists = lists.withColumnRenamed("tid", "of")

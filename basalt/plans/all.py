@@ -15,6 +15,9 @@ import basalt.operators.security
 import basalt.operators.text
 import basalt.operators.tpch
 import basalt.operators.vector
+import basalt.plans.recursion
+import basalt.plans.unified
+import basalt.sources.files
 import basalt.streaming.windows  # noqa: F401
 from basalt.plans.registry import OPERATORS
 
