@@ -175,14 +175,14 @@ def _one(spark: SparkSession, i: int) -> DataFrame:
     return spark.range(i, i + 1)
 
 
-_EDGES = "(SELECT n_nationkey + 2000000000 AS src, n_regionkey + 1000000000 AS dst FROM nation UNION ALL SELECT c_custkey, c_nationkey + 2000000000 FROM customer)"
+_EDGES = "(SELECT n_nationkey::BIGINT + 2000000000 AS src, n_regionkey::BIGINT + 1000000000 AS dst FROM nation UNION ALL SELECT c_custkey, c_nationkey::BIGINT + 2000000000 FROM customer)"
 OPERATORS["graph_neighbours"] = Operator(
     lambda spark, d: trade_graph(spark, d).outgoing(load(spark, d, "customer").selectExpr("c_custkey AS id"), "LIVES"),
     f"SELECT src AS id, dst AS neighbour FROM {_EDGES} WHERE src < 2000000000", "2.11")
 OPERATORS["graph_incoming"] = Operator(
     lambda spark, d: trade_graph(spark, d).incoming(spark.range(2000000003, 2000000006)),
     f"SELECT dst AS id, src AS neighbour FROM {_EDGES} WHERE dst BETWEEN 2000000003 AND 2000000005", "2.11")
-OPERATORS["graph_by_label"] = Operator(lambda spark, d: trade_graph(spark, d).by_label("Nation").select("id", "name"), "SELECT n_nationkey + 2000000000 AS id, n_name AS name FROM nation", "2.11")
+OPERATORS["graph_by_label"] = Operator(lambda spark, d: trade_graph(spark, d).by_label("Nation").select("id", "name"), "SELECT n_nationkey::BIGINT + 2000000000 AS id, n_name AS name FROM nation", "2.11")
 OPERATORS["graph_two_hops"] = Operator(
     lambda spark, d: multi_hop(trade_graph(spark, d), load(spark, d, "customer").selectExpr("c_custkey AS id"), 2),
     f"SELECT DISTINCT b.dst AS id FROM {_EDGES} a JOIN {_EDGES} b ON a.dst = b.src WHERE a.src < 2000000000", "2.11")

@@ -161,7 +161,7 @@ def compact(spark: SparkSession, path: str, out: str, target_bytes: int = 256 <<
     from math import ceil
 
     rows = spark.read.parquet(path)
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     rows.coalesce(max(1, ceil(size / target_bytes))).write.parquet(out)
 
 
