@@ -70,14 +70,22 @@ def test_long_text_in_pieces(spark, monkeypatch):
         for tid, packed in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
             p, lo, hi = packed >> 16, packed >> 8 & 255, packed & 255
             for d in range(lo, hi + 1):
-                assert (tid, p - d) not in cover
-                cover[tid, p - d] = d
+                assert cover.setdefault((tid, p - d), d) == d
     strings = {}
     for i, d in enumerate(data, 1):
         for q in range(len(d) - 199):
             assert strings.setdefault(d[q : q + 200], cover[i, q]) == cover[i, q]
 
 
+def test_very_common_gram_is_spread(spark):
+    """A passage and a repeated line in most texts: ranges that tasks settle themselves, and runs that meet."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, line = text(400), text(60) + "\n"
+    texts = [text(rng.randrange(300)) + passage + text(rng.randrange(300)) for _ in range(30)] + [line * rng.randrange(1, 30) + text(250) for _ in range(30)]
+    check(spark, texts)
+
+
 def test_merge_is_a_sort_with_common_prefixes():
     rng = random.Random(4)
     for _ in range(50):
