@@ -131,3 +131,30 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
 }
+
+#: The same law from window sums over the whole order; CRC-32 by its table, a byte at a time.
+OP4_SQL = """
+WITH crc(b, c) AS (
+  SELECT range, list_reduce([range] || [0, 1, 2, 3, 4, 5, 6, 7], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) FROM range(256)
+), tab AS (SELECT list(c ORDER BY b) AS t FROM crc),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (
+  SELECT doc_id, strlen(text)::BIGINT + 1 AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(text), '..'), lambda p: ('0x' || p)::BIGINT),
+      lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, tab
+),
+p AS (
+  SELECT *, (sum(size) OVER (ORDER BY h, doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start,
+    row_number() OVER (ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank, sum(size) OVER ()::BIGINT AS total
+  FROM s
+),
+o AS (SELECT *, least((2 * start + size) * 8 // (2 * total), 7) AS own FROM p),
+g AS (
+  SELECT h, least((2 * min(start) + sum(size)::BIGINT) * 8 // (2 * any_value(total)), 7) AS grouped
+  FROM o GROUP BY h HAVING min(own) < max(own) AND sum(size) * 8 <= 0.02 * any_value(total)
+),
+f AS (SELECT o.*, coalesce(grouped, own)::INTEGER AS shard FROM o LEFT JOIN g USING (h))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM f
+"""
+ORACLE_SQL["op4_sharding"] = OP4_SQL
