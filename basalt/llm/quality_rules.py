@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. The rules' accuracies are
-not given: expectation-maximisation estimates, for every rule, how often its vote is right on
+not given: expectation-maximisation estimates, for every rule, how often it votes which way on
 good and on bad documents, and a document's posterior probability of being good replaces a
 conjunction of filters.
 
@@ -16,6 +16,7 @@ are. Columns other than doc_id and text are ignored. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from basalt.llm._common import WHITE, let, words_of, written
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -38,33 +37,40 @@ class Rule:
     good: str
 
 
+#: Most rules know one defect and abstain where it is absent: the absence of one says little of others. Each defect has two rules or
+#: more that can see it, so EM has agreement to learn from.
 RULES = (
     Rule("length", "n_words < 50", "n_words >= 100"),
-    Rule("word_length", "word_chars < 2.5 * n_words or word_chars > 14 * n_words", "word_chars between 3.5 * n_words and 11 * n_words"),
-    Rule("symbols", "n_symbols > 0.15 * n_words", "n_symbols < 0.02 * n_words"),
-    Rule("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
-    Rule("repeats", "n_repeat_words > 0.4 * n_words", "n_repeat_words < 0.1 * n_words"),
-    Rule("shouting", "n_upper > 0.4 * word_chars", "n_upper < 0.1 * word_chars"),
-    Rule("exclaiming", "n_exclaim > 0.2 * n_words", "n_exclaim < 0.02 * n_words"),
-    Rule("digits", "n_digits > 0.3 * word_chars", "n_digits < 0.05 * word_chars"),
+    Rule("prose", "false", "n_symbols < 0.02 * n_words and n_upper < 0.2 * word_chars and n_repeat_words < 0.1 * n_words and n_dup_lines <= 0.3 * n_lines"),
+    Rule("word_length", "word_chars < 2.5 * n_words or word_chars > 14 * n_words", "false"),
+    Rule("symbols", "n_symbols > 0.15 * n_words", "false"),
+    Rule("punctuation", "n_punct > 0.12 * word_chars", "false"),
+    Rule("lines", "n_dup_lines > 0.5 * n_lines", "false"),
+    Rule("repeats", "n_repeat_words > 0.4 * n_words", "false"),
+    Rule("shouting", "n_upper > 0.4 * word_chars", "false"),
+    Rule("exclaiming", "n_exclaim > 0.2 * n_words", "false"),
+    Rule("digits", "n_digits > 0.3 * word_chars", "false"),
 )
+#: Characters that any count of single characters looks at: ASCII punctuation, capitals and digits.
+COUNTED = r"[^!-/:-@\[-`{-~A-Z0-9]+"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _only(chars: Column, others: str) -> Column:
+    """How many characters are left when runs of others go."""
+    return F.length(F.regexp_replace(chars, others, "")).cast("bigint")
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
-    """Words within 3-word windows that the text holds twice or more; near-linear in the text.
+def _windows(words: str) -> Column:
+    """Hashes of all 3-word windows of an array of word hashes."""
+    w = F.col(words)
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words within windows that occur twice or more; near-linear in the text.
 
     Windows are compared by 64-bit hashes. Only a text with some repeated window sorts them.
     """
-    hashes = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-            lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-        )
-    )
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -75,30 +81,33 @@ def _repeat_words(words: Column, n: Column) -> Column:
         step = lambda s, i: F.struct(i.alias("last"), (s["sum"] + F.least(F.lit(3), i - s["last"])).alias("sum"))
         return F.aggregate(at, start, step, lambda s: s["sum"])
 
-    return let(
-        hashes,
-        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(covered(h)),
-    )
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(covered(hashes))
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules read, one row per document, without its text."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    split = base.withColumn("w", words_of(F.col("t"))).withColumn(
-        "lines", F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    split = base.select(
+        "doc_id",
+        words_of(F.col("t")).alias("w"),
+        F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("lines"),
+        F.regexp_replace("t", COUNTED, "").alias("c"),
     )
-    n, t, lines = F.size("w"), F.col("t"), F.col("lines")
+    # Each step in a projection of its own: what is used more than once is computed once.
+    split = split.withColumn("g", F.transform("w", lambda x: F.xxhash64(x))).withColumn("h", _windows("g"))
+    lines, c = F.col("lines"), F.col("c")
     return split.select(
         "doc_id",
-        n.cast("bigint").alias("n_words"),
-        F.length(F.translate(t, WHITE, "")).cast("bigint").alias("word_chars"),
-        _without(t, SYMBOLS).cast("bigint").alias("n_symbols"),
+        F.size("w").cast("bigint").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
+        _only(c, r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words(F.col("w"), n).alias("n_repeat_words"),
+        _repeat_words(F.col("h")).alias("n_repeat_words"),
         F.size(lines).cast("bigint").alias("n_lines"),
-        _without(t, UPPER).cast("bigint").alias("n_upper"),
-        _without(t, "!").cast("bigint").alias("n_exclaim"),
-        _without(t, "0123456789").cast("bigint").alias("n_digits"),
+        _only(c, "[^A-Z]+").alias("n_upper"),
+        _only(c, "[^!]+").alias("n_exclaim"),
+        _only(c, "[^0-9]+").alias("n_digits"),
+        _only(c, "[A-Z0-9]+").alias("n_punct"),
     )
 
 
@@ -106,53 +115,51 @@ def _vote(rule: Rule) -> Column:
     return F.when(F.expr(rule.bad), -1).when(F.expr(rule.good), 1).otherwise(0).cast("int").alias(f"v_{rule.name}")
 
 
-def _log_odds(rules: tuple[Rule, ...], prior: float, right: dict[str, tuple[float, float]]) -> Column:
-    """Log odds of good given the votes. right: P(good vote | good), P(bad vote | bad), both given a vote."""
-    import math
+VOTES = (-1, 0, 1)
+#: Dirichlet priors of a rule's vote on bad and on good documents, in documents: rules are thought to be right more often than wrong.
+PRIOR = {"bad": (10.0, 9.0, 1.0), "good": (0.4, 10.0, 9.6)}
+#: No single vote moves the log odds further than this.
+MOST = 4.6
+
 
+def _log_odds(rules: tuple[Rule, ...], prior: float, model: dict[str, dict[str, tuple[float, ...]]]) -> Column:
+    """Log odds of good given the votes; model: the probability of each vote on bad and on good documents, by rule."""
     total = F.lit(math.log(prior / (1 - prior)))
     for r in rules:
-        sens, spec = right[r.name]
+        good, bad = model[r.name]["good"], model[r.name]["bad"]
+        weights = [min(max(math.log(g / b), -MOST), MOST) for g, b in zip(good, bad, strict=True)]
+        # A bad vote never speaks for a document, nor a good one against it.
+        weights = [min(weights[0], 0.0), weights[1], max(weights[2], 0.0)]
         v = F.col(f"v_{r.name}")
-        total = total + F.when(v == 1, math.log(sens / (1 - spec))).when(v == -1, math.log((1 - sens) / spec)).otherwise(0.0)
+        total = total + F.when(v == -1, weights[0]).when(v == 1, weights[2]).otherwise(weights[1])
     return total
 
 
-def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 25, tolerance: float = 1e-4) -> tuple[float, dict]:
-    """EM over a table of vote patterns (v_<rule> columns and n). Returns the prior and the accuracies.
+def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 40, tolerance: float = 1e-4) -> tuple[float, dict]:
+    """EM over a table of vote patterns (v_<rule> columns and n). Returns the share of good documents and the model.
 
-    Beta priors (9 right, 1 wrong pseudo-document weight of 20) and bounds (a vote is right more often than
-    wrong) keep the two classes from trading places and rules with few votes from certainty.
+    Abstaining is an outcome like the votes, so a rule that only ever votes bad can be estimated too. Only one row of
+    sums reaches the driver in each round.
     """
-    bound = lambda x, low, high: min(max(x, low), high)
-    prior, right = 0.8, {r.name: (0.9, 0.9) for r in rules}
+    shares = lambda w: tuple(x / sum(w) for x in w)
+    prior, model = 0.8, {r.name: {k: shares(w) for k, w in PRIOR.items()} for r in rules}
     for _ in range(rounds):
-        q = 1 / (1 + F.exp(-_log_odds(rules, prior, right)))
-        sums = [F.sum(F.col("n") * q).alias("good"), F.sum("n").alias("all")]
+        q, n = 1 / (1 + F.exp(-_log_odds(rules, prior, model))), F.col("n")
+        sums = [F.sum(n * q).alias("good"), F.sum("n").alias("all")]
         for r in rules:
-            v, n = F.col(f"v_{r.name}"), F.col("n")
-            sums += [
-                F.sum(F.when(v == 1, n * q).otherwise(0.0)).alias(f"{r.name}_pg"),
-                F.sum(F.when(v == -1, n * q).otherwise(0.0)).alias(f"{r.name}_ng"),
-                F.sum(F.when(v == 1, n * (1 - q)).otherwise(0.0)).alias(f"{r.name}_pb"),
-                F.sum(F.when(v == -1, n * (1 - q)).otherwise(0.0)).alias(f"{r.name}_nb"),
-            ]
+            for v in VOTES:
+                hit = F.col(f"v_{r.name}") == v
+                sums += [F.sum(F.when(hit, n * q).otherwise(0.0)).alias(f"good_{r.name}_{v}"), F.sum(F.when(hit, n * (1 - q)).otherwise(0.0)).alias(f"bad_{r.name}_{v}")]
         s = patterns.agg(*sums).first()
         if not s["all"]:
             break
-        new_prior = bound((s["good"] + 16) / (s["all"] + 20), 0.05, 0.95)
-        new = {
-            r.name: (
-                bound((s[f"{r.name}_pg"] + 18) / (s[f"{r.name}_pg"] + s[f"{r.name}_ng"] + 20), 0.55, 0.995),
-                bound((s[f"{r.name}_nb"] + 18) / (s[f"{r.name}_nb"] + s[f"{r.name}_pb"] + 20), 0.55, 0.995),
-            )
-            for r in rules
-        }
-        moved = max([abs(new_prior - prior), *(abs(a - b) for r in rules for a, b in zip(new[r.name], right[r.name], strict=True))])
-        prior, right = new_prior, new
+        new_prior = min(max((s["good"] + 16) / (s["all"] + 20), 0.1), 0.9)
+        new = {r.name: {k: shares([s[f"{k}_{r.name}_{v}"] + w for v, w in zip(VOTES, weights, strict=True)]) for k, weights in PRIOR.items()} for r in rules}
+        moved = max([abs(new_prior - prior), *(abs(a - b) for r in rules for k in PRIOR for a, b in zip(new[r.name][k], model[r.name][k], strict=True))])
+        prior, model = new_prior, new
         if moved < tolerance:
             break
-    return prior, right
+    return prior, model
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -164,10 +171,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     votes = [_vote(r) for r in rules]
     rows = written(features(docs).select("*", *votes), "quality-rules")
     patterns = written(rows.groupBy(*[f"v_{r.name}" for r in rules]).agg(F.count("*").alias("n")), "vote-patterns")
-    prior, right = estimate(patterns, rules)
+    prior, model = estimate(patterns, rules)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        rows.withColumn("p_good", 1 / (1 + F.exp(-_log_odds(rules, prior, right))))
+        rows.withColumn("p_good", 1 / (1 + F.exp(-_log_odds(rules, prior, model))))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
     )
