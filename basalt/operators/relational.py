@@ -55,13 +55,13 @@ q("join_semi", "2.3", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c
 q("join_anti", "2.3", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)", ("customer", "orders"))
 q("join_broadcast_hint", "2.3", "SELECT /*+ BROADCAST(n) */ n.n_name, count(*) AS n_cust FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", "SELECT n.n_name, count(*) AS n_cust FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", ("customer", "nation"))
 q("join_merge_hint", "2.3", "SELECT /*+ MERGE(o) */ c.c_mktsegment, count(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment", "SELECT c.c_mktsegment, count(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment", ("customer", "orders"))
-q("join_shuffle_hash_hint", "2.3", "SELECT /*+ SHUFFLE_HASH(o) */ c.c_nationkey, round(avg(o.o_totalprice), 4) AS mean FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey", "SELECT c.c_nationkey, round(avg(o.o_totalprice), 4) AS mean FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey", ("customer", "orders"))
+q("join_shuffle_hash_hint", "2.3", "SELECT /*+ SHUFFLE_HASH(o) */ c.c_nationkey, round(avg(o.o_totalprice) + 0.0000001, 4) AS mean FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey", "SELECT c.c_nationkey, round(avg(o.o_totalprice) + 0.0000001, 4) AS mean FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey", ("customer", "orders"))
 
 # Aggregates.
-q("aggregate_global", "2.4", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS custs, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders", tables=("orders",))
+q("aggregate_global", "2.4", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS custs, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice) + 0.0000001, 4) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders", tables=("orders",))
 q("aggregate_empty", "2.4", "SELECT count(*) AS n, sum(o_totalprice) AS total, max(o_orderkey) AS top FROM orders WHERE o_orderkey < 0", tables=("orders",))
 q("aggregate_having", "2.4", "SELECT o_custkey, count(*) AS cnt, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 15", tables=("orders",))
-q("aggregate_distinct", "2.4", "SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS np, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS sc, round(avg(DISTINCT o_custkey), 4) AS ac FROM orders GROUP BY o_orderstatus", tables=("orders",))
+q("aggregate_distinct", "2.4", "SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS np, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS sc, round(avg(DISTINCT o_custkey) + 0.0000001, 4) AS ac FROM orders GROUP BY o_orderstatus", tables=("orders",))
 q("aggregate_null_keys", "2.4", "SELECT k, count(*) AS n, count(v) AS nv, CAST(sum(v) AS BIGINT) AS s FROM (VALUES ('NULL', 1), (NULL, 2), (NULL, NULL), ('a', 3)) AS t(k, v) GROUP BY k")
 q("aggregate_filter", "2.4", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS many, round(sum(l_tax) FILTER (WHERE l_linestatus = 'O'), 4) AS tax FROM lineitem GROUP BY l_returnflag", tables=("lineitem",))
 q("rollup", "2.4", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)", tables=("lineitem",))
@@ -80,7 +80,7 @@ q("window_ranking", "2.5", f"SELECT o_orderkey, CAST(row_number() {_W} AS BIGINT
 q("window_ntile", "2.5", f"SELECT o_orderkey, CAST(ntile(4) {_W} AS BIGINT) AS nt FROM orders", tables=("orders",))
 q("window_lead_lag", "2.5", f"SELECT o_orderkey, lead(o_orderkey) {_W} AS nx, lag(o_orderkey, 2, CAST(-1 AS BIGINT)) {_W} AS pv FROM orders", tables=("orders",))
 q("window_values", "2.5", f"SELECT o_orderkey, first_value(o_orderkey) {_ROWS} AS f, last_value(o_orderkey) {_ROWS} AS l, nth_value(o_orderkey, 2) {_ROWS} AS s FROM orders", tables=("orders",))
-q("window_aggregates", "2.5", f"SELECT o_orderkey, round(sum(o_totalprice) {_ROWS}, 2) AS rs, count(*) {_ROWS} AS rc, min(o_totalprice) {_ROWS} AS mn, max(o_totalprice) {_ROWS} AS mx, round(avg(o_totalprice) {_ROWS}, 4) AS av FROM orders", tables=("orders",))
+q("window_aggregates", "2.5", f"SELECT o_orderkey, round(sum(o_totalprice) {_ROWS}, 2) AS rs, count(*) {_ROWS} AS rc, min(o_totalprice) {_ROWS} AS mn, max(o_totalprice) {_ROWS} AS mx, round(avg(o_totalprice) {_ROWS} + 0.0000001, 4) AS av FROM orders", tables=("orders",))
 q("window_sliding", "2.5", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS c FROM orders", tables=("orders",))
 q("window_distribution", "2.5", "SELECT p_partkey, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey), 9) AS pr, round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey), 9) AS cd FROM part", tables=("part",))
 q("window_whole_partition", "2.5", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS diff FROM customer", tables=("customer",))

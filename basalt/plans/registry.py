@@ -35,10 +35,10 @@ sql_operator(
     "2.4",
     """
     SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-           round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
-           round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price,
-           round(avg(l_discount), 4) AS avg_disc, count(*) AS count_order
+           round(sum(l_extendedprice * (1 - l_discount)) + 0.00001, 2) AS sum_disc_price,
+           round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) + 0.0000001, 2) AS sum_charge,
+           round(avg(l_quantity) + 0.0000001, 4) AS avg_qty, round(avg(l_extendedprice) + 0.0000001, 4) AS avg_price,
+           round(avg(l_discount) + 0.0000001, 4) AS avg_disc, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02 00:00:00'
     GROUP BY l_returnflag, l_linestatus
     """,
