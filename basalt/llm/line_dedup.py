@@ -89,10 +89,13 @@ def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     gens.append(line_hash(tokens[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(gens, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], names=["gen", "tokens"])
 
-    lists = wanted.groupBy("th").agg(F.collect_list("line").alias("lines"))
-    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
+    rows = docs.filter("text is not null").select(F.xxhash64("text").alias("of"), "doc_id", "text")
+    # One row of each text is read, whatever its copies: that of the least id.
+    firsts = rows.groupBy(F.col("of").alias("th")).agg(F.min("doc_id").alias("first"))
+    lists = wanted.groupBy("th").agg(F.collect_list("line").alias("lines")).join(firsts, "th")
     # The same plan at every size: texts and lists meet by a shuffle.
-    return texts.join(lists.hint("merge"), "th").select("text", "lines").mapInArrow(run, "gen bigint, tokens array<string>").dropDuplicates(["gen"])
+    same = (F.col("of") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    return rows.join(lists.hint("merge"), same).select("text", "lines").mapInArrow(run, "gen bigint, tokens array<string>").dropDuplicates(["gen"])
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
@@ -117,7 +120,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, const
 def line_dedup(
     docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, max_share: float = MAX_SHARE
 ) -> DataFrame:
-    """docs with text without its recurring lines, and n_lines and n_dropped (both bigint)."""
+    """docs (doc_id, text, …) with text without its recurring lines, and n_lines and n_dropped (both bigint)."""
     lines = written(_lines(docs, min_tokens), "lines")
     gens = recurring(docs, lines, min_docs, constant)
     hit = lines.join(gens, "gen").groupBy("th").agg(F.collect_list("line").alias("_drop"), F.sum("words").alias("_words"))
