@@ -140,21 +140,22 @@ def _log_odds(rules: tuple[Rule, ...], prior: float, model: dict[str, dict[str,
 def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 25, tolerance: float = 1e-3) -> tuple[float, dict]:
     """EM over a table of vote patterns (v_<rule> columns and n). Returns the share of good documents and the model.
 
-    Abstaining is an outcome like the votes, so a rule that only ever votes bad can be estimated too. Only one row of
-    sums reaches the driver in each round.
+    Abstaining is an outcome like the votes, so a rule that only ever votes bad can be estimated too. Only a sum for each rule
+    and vote reaches the driver in each round.
     """
     shares = lambda w: tuple(x / sum(w) for x in w)
     prior, model = 0.8, {r.name: {k: shares(w) for k, w in PRIOR.items()} for r in rules}
     for _ in range(rounds):
         q, n = 1 / (1 + F.exp(-_log_odds(rules, prior, model))), F.col("n")
-        sums = [F.sum(n * q).alias("good"), F.sum("n").alias("all")]
-        for r in rules:
-            for v in VOTES:
-                hit = F.col(f"v_{r.name}") == v
-                sums += [F.sum(F.when(hit, n * q).otherwise(0.0)).alias(f"good_{r.name}_{v}"), F.sum(F.when(hit, n * (1 - q)).otherwise(0.0)).alias(f"bad_{r.name}_{v}")]
-        s = patterns.agg(*sums).first()
-        if not s["all"]:
+        votes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v_{r.name}").alias("v")) for i, r in enumerate(rules)])).alias("e")
+        rows = patterns.select(n, q.alias("q"), votes).groupBy("e.i", "e.v").agg(F.sum(n * F.col("q")).alias("good"), F.sum("n").alias("all")).collect()
+        if not rows:
             break
+        s = {"good": sum(x.good for x in rows if x.i == 0), "all": sum(x["all"] for x in rows if x.i == 0)}
+        found = {(x.i, x.v): (x.good, x["all"] - x.good) for x in rows}
+        for i, r in enumerate(rules):
+            for v in VOTES:
+                s[f"good_{r.name}_{v}"], s[f"bad_{r.name}_{v}"] = found.get((i, v), (0.0, 0.0))
         new_prior = min(max((s["good"] + 16) / (s["all"] + 20), 0.1), 0.9)
         new = {r.name: {k: shares([s[f"{k}_{r.name}_{v}"] + w for v, w in zip(VOTES, weights, strict=True)]) for k, weights in PRIOR.items()} for r in rules}
         moved = max([abs(new_prior - prior), *(abs(a - b) for r in rules for k in PRIOR for a, b in zip(new[r.name][k], model[r.name][k], strict=True))])
