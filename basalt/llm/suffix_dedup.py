@@ -371,6 +371,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tid"))
-    found = repeated_ranges(docs)
+    # Written first, so that the join has an exchange on both sides and many copies of a text can be dealt to several tasks.
+    found = written(repeated_ranges(docs), "ranges-by-text")
     joined = base.join(found.hint("merge"), "tid", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
