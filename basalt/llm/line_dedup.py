@@ -4,7 +4,9 @@ Lines are parsed down a tree: token count, then the first DEPTH tokens, tokens w
 being variable fields from the start. Within a leaf a token that fewer than `min_docs`
 documents have at its position is a variable field too, so lines that differ only there get one template. A
 template that at least `min_docs` documents hold, and most of whose tokens (`constant`) are fixed, is
-recurring, and its lines are dropped from all documents. Lines of fewer than `min_tokens` tokens stay. A
+recurring, and its lines are dropped from all documents. Lines of fewer than `min_tokens` tokens stay.
+A line of more than `long_tokens` tokens is proof by itself: held word for word by `long_docs` texts, though
+by fewer than make it recurring, it stays only in the row of the least id among its holders. A
 document that would lose more than `max_share` of its words is a copy of others rather than a text
 with boilerplate, and stays whole: it is for document dedup.
 
@@ -35,6 +37,8 @@ MIN_DOCS = 10
 MIN_TOKENS = 3
 CONSTANT = 0.8
 MAX_SHARE = 0.5
+LONG_TOKENS = 50
+LONG_DOCS = 2
 FIELD = "<*>"
 DIGIT = re.compile(r"\d")
 
@@ -57,23 +61,28 @@ def line_hash(tokens: list[str]) -> int:
     return _signed(xxhash.xxh64_intdigest(" ".join(tokens)))
 
 
-def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """th (hash of the text), line (number), words, leaf and gen (hash of the parsed line) of every distinct text."""
+def _lines(docs: DataFrame, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """th (hash of the text), line (number), words, leaf and gen (hash of the parsed line) of every distinct text.
+
+    exact is the hash of a long line's own tokens, null for others; first is the least id of the text's rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for th, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for th, text, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for i, line in enumerate(text.as_py().split("\n")):
                     tokens = parse(line)
                     if len(tokens) >= min_tokens:
-                        for column, value in zip(out, (th, i, len(tokens), leaf_of(tokens), line_hash(tokens)), strict=True):
+                        exact = line_hash(line.split()) if len(tokens) > long_tokens else None
+                        for column, value in zip(out, (th, i, len(tokens), leaf_of(tokens), line_hash(tokens), exact, first), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["th", "line", "words", "leaf", "gen"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["th", "line", "words", "leaf", "gen", "exact", "first"])
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    rows = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "th bigint, line int, words int, leaf bigint, gen bigint").dropDuplicates(["th", "line"])
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    rows = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text", F.col("doc_id").cast("bigint").alias("first"))
+    parsed = rows.mapInArrow(run, "th bigint, line int, words int, leaf bigint, gen bigint, exact bigint, first bigint")
+    return parsed.groupBy("th", "line", "words", "leaf", "gen", "exact").agg(F.min("first").alias("first"))
 
 
 def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -117,19 +126,41 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, const
     return templates.join(common, ["leaf", "t"]).select("gen").distinct()
 
 
+def repeated(lines: DataFrame, gens: DataFrame, long_docs: int = LONG_DOCS) -> DataFrame:
+    """Long lines of at least long_docs texts that are not among gens: th, line, words, first, and template, here the line itself."""
+    long = lines.filter("exact is not null").select("th", "line", "words", "gen", "exact", "first")
+    held = long.select("exact", "th").distinct().groupBy("exact").agg(F.count("*").alias("docs")).filter(F.col("docs") >= long_docs).select("exact")
+    return long.join(held, "exact").join(gens.select("gen"), "gen", "left_anti").select("th", "line", "words", "first", F.col("exact").alias("template"))
+
+
 def line_dedup(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, max_share: float = MAX_SHARE
+    docs: DataFrame,
+    min_docs: int = MIN_DOCS,
+    min_tokens: int = MIN_TOKENS,
+    constant: float = CONSTANT,
+    max_share: float = MAX_SHARE,
+    long_tokens: int = LONG_TOKENS,
+    long_docs: int = LONG_DOCS,
 ) -> DataFrame:
     """docs (doc_id, text, …) with text without its recurring lines, and n_lines and n_dropped (both bigint)."""
-    lines = written(_lines(docs, min_tokens), "lines")
-    gens = recurring(docs, lines, min_docs, constant)
-    hit = lines.join(gens, "gen").groupBy("th").agg(F.collect_list("line").alias("_drop"), F.sum("words").alias("_words"))
+    lines = written(_lines(docs, min_tokens, long_tokens), "lines")
+    gens = written(recurring(docs, lines, min_docs, constant), "recurring-lines")
+    common = lines.join(gens, "gen").groupBy("th").agg(F.collect_list("line").alias("_drop"), F.sum("words").alias("_words"))
+    few = written(repeated(lines, gens, long_docs), "long-lines")
+    holders = few.groupBy("template").agg(F.min(F.struct("first", "th")).alias("at")).select("template", "at.th", F.lit(True).alias("holder"))
+    few = few.join(holders, ["template", "th"], "left").groupBy("th").agg(
+        F.collect_list("line").alias("_few"), F.collect_list(F.when(F.col("holder"), F.col("line"))).alias("_held"), F.min("first").alias("_first")
+    )
+    hit = common.join(few, "th", "full")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     hit = written(hit, "dropped-lines").withColumnRenamed("th", "_th")
     joined = docs.select(*columns, F.xxhash64("text").alias("_hash")).join(hit.hint("merge"), F.col("_hash") == F.col("_th"), "left")
     total = F.size(F.split(F.btrim(F.col("text")), r"\s+"))
-    drop = F.when(F.col("_words") <= max_share * total, F.col("_drop")).otherwise(F.array().cast("array<int>"))
-    joined = joined.withColumn("_drop", drop).withColumn("_all", F.split("text", "\n"))
+    none = F.array().cast("array<int>")
+    drop = F.when(F.col("_words") <= max_share * total, F.col("_drop")).otherwise(none)
+    # Of the holder's copies too, only the row of the least id keeps the line.
+    again = F.when(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first")), F.array_except("_few", "_held")).otherwise(F.col("_few"))
+    joined = joined.withColumn("_drop", F.concat(drop, F.coalesce(again, none))).withColumn("_all", F.split("text", "\n"))
     left = F.filter("_all", lambda x, i: ~F.array_contains("_drop", i))
     text = F.when(F.size("_drop") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(

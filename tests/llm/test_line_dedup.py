@@ -56,3 +56,16 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert op.line_dedup(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_long_line_of_few_texts_stays_once(spark):
+    passage = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = [f"{passage}\n" + " ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(12)) for i in range(5)]
+    short = " ".join(passage.split()[:40])
+    texts += [texts[1]] * 3 + [texts[0]] * 2 + [short + "\nfirst text", short + "\nsecond text"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in op.line_dedup(frame).collect()}
+    assert len(got) == len(texts)
+    assert [i for i, r in sorted(got.items()) if passage in r.text] == [0]
+    assert [got[i].n_dropped for i in range(len(texts))] == [0] + [1] * 9 + [0, 0]
+    assert all(got[i].text == (t if i in (0, 10, 11) else t.split("\n")[1]) for i, t in enumerate(texts))
