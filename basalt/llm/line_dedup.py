@@ -6,9 +6,9 @@ documents have at its position is a variable field too, so lines that differ onl
 template that at least `min_docs` documents hold, and most of whose tokens (`constant`) are fixed, is
 recurring, and its lines are dropped from all documents. Lines of fewer than `min_tokens` tokens stay.
 A line of more than `long_tokens` tokens is proof by itself: held word for word by `long_docs` texts, though
-by fewer than make it recurring, it stays only in the row of the least id among its holders. A
-document that would lose more than `max_share` of its words is a copy of others rather than a text
-with boilerplate, and stays whole: it is for document dedup.
+by fewer than make it recurring, it stays only in the row of the least id among its holders.
+Recurring lines go in every document, whatever is left of it. Of the texts that lose more than `max_share` of their words to them, which may be
+copies of each other, the row of the least id keeps a template's lines, so that no such text is lost altogether.
 
 Documents count by their text: copies of a text are one document. Counts are exact and over all
 documents. The tree is an aggregation on leaf, position and token of distinct lines with their counts, so
@@ -64,25 +64,27 @@ def line_hash(tokens: list[str]) -> int:
 def _lines(docs: DataFrame, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """th (hash of the text), line (number), words, leaf and gen (hash of the parsed line) of every distinct text.
 
-    exact is the hash of a long line's own tokens, null for others; first is the least id of the text's rows.
+    all counts the words of the text; exact is the hash of a long line's own tokens, null for others; first is the least id of the text's rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for th, text, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for i, line in enumerate(text.as_py().split("\n")):
+                whole = text.as_py()
+                n = len(whole.split())
+                for i, line in enumerate(whole.split("\n")):
                     tokens = parse(line)
                     if len(tokens) >= min_tokens:
                         exact = line_hash(line.split()) if len(tokens) > long_tokens else None
-                        for column, value in zip(out, (th, i, len(tokens), leaf_of(tokens), line_hash(tokens), exact, first), strict=True):
+                        for column, value in zip(out, (th, i, len(tokens), n, leaf_of(tokens), line_hash(tokens), exact, first), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["th", "line", "words", "leaf", "gen", "exact", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["th", "line", "words", "all", "leaf", "gen", "exact", "first"])
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     rows = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text", F.col("doc_id").cast("bigint").alias("first"))
-    parsed = rows.mapInArrow(run, "th bigint, line int, words int, leaf bigint, gen bigint, exact bigint, first bigint")
-    return parsed.groupBy("th", "line", "words", "leaf", "gen", "exact").agg(F.min("first").alias("first"))
+    parsed = rows.mapInArrow(run, "th bigint, line int, words int, all int, leaf bigint, gen bigint, exact bigint, first bigint")
+    return parsed.groupBy("th", "line", "words", "all", "leaf", "gen", "exact").agg(F.min("first").alias("first"))
 
 
 def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """gen of the lines whose template recurs."""
+    """gen of the lines whose template recurs, and the hash of that template."""
     gens = lines.groupBy("leaf", "gen", "th").agg(F.min("line").alias("line")).groupBy("leaf", "gen").agg(F.count("*").alias("docs"), F.min(F.struct("th", "line")).alias("at"))
     gens = written(gens, "lines-by-hash")
     leaves = gens.groupBy("leaf").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select("leaf")
@@ -123,7 +125,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, const
     templates = shaped.groupBy("leaf", "gen", "n", "docs").agg(F.sum(F.when(F.col("token") != FIELD, placed)).alias("t"), F.count(F.when(F.col("token") != FIELD, 1)).alias("fixed"))
     templates = written(templates.filter(F.col("fixed") >= constant * F.col("n")), "templates")
     common = templates.groupBy("leaf", "t").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
-    return templates.join(common, ["leaf", "t"]).select("gen").distinct()
+    return templates.join(common, ["leaf", "t"]).select("gen", F.xxhash64("leaf", "t").alias("template")).distinct()
 
 
 def repeated(lines: DataFrame, gens: DataFrame, long_docs: int = LONG_DOCS) -> DataFrame:
@@ -145,22 +147,22 @@ def line_dedup(
     """docs (doc_id, text, …) with text without its recurring lines, and n_lines and n_dropped (both bigint)."""
     lines = written(_lines(docs, min_tokens, long_tokens), "lines")
     gens = written(recurring(docs, lines, min_docs, constant), "recurring-lines")
-    common = lines.join(gens, "gen").groupBy("th").agg(F.collect_list("line").alias("_drop"), F.sum("words").alias("_words"))
-    few = written(repeated(lines, gens, long_docs), "long-lines")
-    holders = few.groupBy("template").agg(F.min(F.struct("first", "th")).alias("at")).select("template", "at.th", F.lit(True).alias("holder"))
-    few = few.join(holders, ["template", "th"], "left").groupBy("th").agg(
-        F.collect_list("line").alias("_few"), F.collect_list(F.when(F.col("holder"), F.col("line"))).alias("_held"), F.min("first").alias("_first")
+    common = lines.join(gens, "gen").select("th", "line", "words", "all", "first", "template")
+    most = common.groupBy("th", "all").agg(F.sum("words").alias("lost")).filter(F.col("lost") > max_share * F.col("all")).select("th", F.lit(True).alias("shared"))
+    common = common.join(most, "th", "left").select("th", "line", "first", "template", F.coalesce("shared", F.lit(False)).alias("shared"))
+    few = repeated(lines, gens, long_docs).select("th", "line", "first", "template", F.lit(True).alias("shared"))
+    lost = written(common.unionByName(few), "lost-lines")
+    holders = lost.filter("shared").groupBy("template").agg(F.min(F.struct("first", "th")).alias("at")).select("template", "at.th", F.lit(True).alias("holder"))
+    hit = lost.join(holders, ["template", "th"], "left").groupBy("th").agg(
+        F.collect_list("line").alias("_drop"), F.collect_list(F.when(F.col("holder"), F.col("line"))).alias("_held"), F.min("first").alias("_first")
     )
-    hit = common.join(few, "th", "full")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     hit = written(hit, "dropped-lines").withColumnRenamed("th", "_th")
     joined = docs.select(*columns, F.xxhash64("text").alias("_hash")).join(hit.hint("merge"), F.col("_hash") == F.col("_th"), "left")
-    total = F.size(F.split(F.btrim(F.col("text")), r"\s+"))
-    none = F.array().cast("array<int>")
-    drop = F.when(F.col("_words") <= max_share * total, F.col("_drop")).otherwise(none)
-    # Of the holder's copies too, only the row of the least id keeps the line.
-    again = F.when(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first")), F.array_except("_few", "_held")).otherwise(F.col("_few"))
-    joined = joined.withColumn("_drop", F.concat(drop, F.coalesce(again, none))).withColumn("_all", F.split("text", "\n"))
+    # Of the holder's copies too, only the row of the least id keeps the lines.
+    held = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first"))
+    drop = F.coalesce(F.when(held, F.array_except("_drop", "_held")).otherwise(F.col("_drop")), F.array().cast("array<int>"))
+    joined = joined.withColumn("_drop", drop).withColumn("_all", F.split("text", "\n"))
     left = F.filter("_all", lambda x, i: ~F.array_contains("_drop", i))
     text = F.when(F.size("_drop") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(

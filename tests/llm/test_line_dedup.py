@@ -69,3 +69,16 @@ def test_long_line_of_few_texts_stays_once(spark):
     assert [i for i, r in sorted(got.items()) if passage in r.text] == [0]
     assert [got[i].n_dropped for i in range(len(texts))] == [0] + [1] * 9 + [0, 0]
     assert all(got[i].text == (t if i in (0, 10, 11) else t.split("\n")[1]) for i, t in enumerate(texts))
+
+
+def test_recurring_lines_go_whatever_their_share(spark):
+    licence = "Licensed under the terms of our own licence"
+    passage = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    own = [f"Own{chr(97 + i)} words" for i in range(14)]
+    texts = [f"{x}\n{licence}" for x in own] + [f"{x} of page\n{passage}" for x in own] + [licence] * 3
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in op.line_dedup(frame).collect()}
+    assert len(got) == len(texts)
+    assert [i for i, t in sorted(got.items()) if licence in t] == [0]
+    assert [i for i, t in sorted(got.items()) if passage in t] == [14]
+    assert all(got[i] == texts[i].split("\n")[0] for i in range(28) if i not in (0, 14)) and got[28] == got[30] == ""
