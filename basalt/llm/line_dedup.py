@@ -3,8 +3,8 @@
 Lines are parsed down a tree: token count, then the first DEPTH tokens, tokens with digits
 being variable fields from the start. Within a leaf a token that fewer than `min_docs`
 documents have at its position is a variable field too, so lines that differ only there get one template. A
-template that at least `min_docs` documents hold, and most of whose tokens (`constant`) are fixed, is
-recurring, and its lines are dropped from all documents. Lines of fewer than `min_tokens` tokens stay.
+template that at least `min_docs` documents hold, and of whose tokens a share of `constant` is fixed, is
+recurring (in lines of more than DEPTH + 1 tokens one of them beyond the leaf's own; the queries ask for HALF), and its lines are dropped from all documents. Lines of fewer than `min_tokens` tokens stay.
 A line of more than `long_tokens` tokens is proof by itself: held word for word by `long_docs` texts, though
 by fewer than make it recurring, it stays only in the row of the least id among its holders.
 Recurring lines go in every document, whatever is left of it. Of the texts that lose more than `max_share` of their words to them, which may be
@@ -36,6 +36,8 @@ DEPTH = 3
 MIN_DOCS = 10
 MIN_TOKENS = 3
 CONSTANT = 0.8
+#: The share of fixed tokens that op3 and the pipeline ask for: lines with several fields recur too.
+HALF = 0.5
 MAX_SHARE = 0.5
 LONG_TOKENS = 50
 LONG_DOCS = 2
@@ -122,8 +124,9 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, const
     shaped = parts.join(fixed, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("support").isNull(), FIELD).otherwise(F.col("token")))
     # A template is told by its leaf and the sum of its fixed tokens' placed hashes.
     placed = F.xxhash64("pos", "token").cast("decimal(38,0)")
-    templates = shaped.groupBy("leaf", "gen", "n", "docs").agg(F.sum(F.when(F.col("token") != FIELD, placed)).alias("t"), F.count(F.when(F.col("token") != FIELD, 1)).alias("fixed"))
-    templates = written(templates.filter(F.col("fixed") >= constant * F.col("n")), "templates")
+    templates = shaped.groupBy("leaf", "gen", "n", "docs").agg(F.sum(F.when(F.col("token") != FIELD, placed)).alias("t"), F.count(F.when(F.col("token") != FIELD, 1)).alias("fixed"), F.count(F.when((F.col("token") != FIELD) & (F.col("pos") >= DEPTH), 1)).alias("beyond"))
+    told = (F.col("n") <= DEPTH + 1) | (F.col("beyond") > 0)  # the leaf alone does not tell a long line
+    templates = written(templates.filter((F.col("fixed") >= constant * F.col("n")) & told), "templates")
     common = templates.groupBy("leaf", "t").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
     return templates.join(common, ["leaf", "t"]).select("gen", F.xxhash64("leaf", "t").alias("template")).distinct()
 

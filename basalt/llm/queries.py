@@ -63,7 +63,7 @@ from esc group by conv_id
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), constant=line_dedup.HALF)
     return rows.select(
         "doc_id",
         "n_lines",

@@ -23,7 +23,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; n_chars follows the text that is left."""
-    kept = line_dedup.line_dedup(docs.select(*COLUMNS))
+    kept = line_dedup.line_dedup(docs.select(*COLUMNS), constant=line_dedup.HALF)
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*COLUMNS)
 

@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 from basalt.llm import line_dedup as op
+from basalt.llm.queries import QUERIES
 
 
 def brute(texts, min_docs=10, min_tokens=3, constant=0.8, max_share=0.5):
@@ -82,3 +84,14 @@ def test_recurring_lines_go_whatever_their_share(spark):
     assert [i for i, t in sorted(got.items()) if licence in t] == [0]
     assert [i for i, t in sorted(got.items()) if passage in t] == [14]
     assert all(got[i] == texts[i].split("\n")[0] for i in range(28) if i not in (0, 14)) and got[28] == got[30] == ""
+
+
+def test_queries_drop_lines_with_several_fields(spark, tmp_path):
+    word = lambda i, j: f"w{chr(97 + i)}{chr(97 + j)}"
+    own = [" ".join(word(i, j) for j in range(20)) for i in range(16)]
+    lines = lambda i: [f"Posted by user{i} at 10:{i} on the forum board", f"Page {i} of {i + 20}", "One of the " + " ".join(word(i, j + 3) for j in range(3))]
+    texts = ["\n".join([x, *lines(i)]) for i, x in enumerate(own)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
+    assert got == {i: f"{x}\n{lines(i)[2]}" for i, x in enumerate(own)}
+    assert {r.n_dropped for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()} == {2}
