@@ -5,6 +5,8 @@ Vectors are array<float> columns; arithmetic is in doubles and stays in the JVM.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from basalt.session import load
 METRICS = ("cosine", "euclidean", "dot", "manhattan")
 #: Queries per block of an exact search; a block is broadcast, its size bounded by this and the dimension.
 QUERY_BLOCK = 10_000
+#: The share of an index's lists that a search probes by default.
+PROBED = 0.75
 
 
 def _sum(a: Column, b: Column, pair) -> Column:
@@ -96,15 +100,30 @@ class InvertedLists:
         self.centroids = [[float(x) for x in c] for c in model.clusterCenters()]
         nearest = F.array_min(F.array(*[F.struct(distance(F.col("v"), F.lit(c), "euclidean").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)]))
         self.table = vectors.withColumn("list", nearest["list"])
+        self.probes = max(1, math.ceil(PROBED * len(self.centroids)))
 
     def search(self, query: list[float], k: int = 10, probes: int | None = None) -> DataFrame:
-        """Top k among the lists nearest to the query: id, distance; a tenth of the lists by default, at least one."""
-        probes = probes or max(1, -(-len(self.centroids) // 10))
+        """Top k among the lists nearest to the query: id, distance."""
+        probes = probes or self.probes
         order = sorted(range(len(self.centroids)), key=lambda i: sum((x - y) ** 2 for x, y in zip(self.centroids[i], query, strict=True)))
         rows = self.table.filter(F.col("list").isin(order[:probes]))
         scored = rows.select("id", distance(F.col("v"), F.lit([float(x) for x in query]), "euclidean").alias("distance"))
         return scored.orderBy("distance", "id").limit(k)
 
+    def search_all(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+        """search() for each of queries(qid, q), as in knn() a stated set: qid, id, distance, rank."""
+        probes = probes or self.probes
+        near = F.array_sort(F.array(*[F.struct(distance(F.col("q"), F.lit(c), "euclidean").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)]))
+        wanted = queries.select("qid", "q", F.explode(F.slice(near, 1, probes)).alias("near")).select("qid", "q", F.col("near.list").alias("list"))
+        pairs = self.table.join(F.broadcast(wanted), "list").select("qid", "id", distance(F.col("v"), F.col("q"), "euclidean").alias("distance"))
+        own = Window.partitionBy("qid").orderBy("distance", "id")
+        return pairs.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of exact's (qid, id) that found holds."""
+    return found.select("qid", "id").join(exact.select("qid", "id"), ["qid", "id"]).count() / max(exact.count(), 1)
+
 
 def quantize(vectors: DataFrame, codebooks: list[list[list[float]]]) -> DataFrame:
     """Product quantization: id and codes, the nearest codeword of every sub-vector."""
@@ -211,6 +230,17 @@ OPERATORS["vector_ivf"] = Operator(lambda spark, d: InvertedLists(_vectors(spark
     f"SELECT id, round({_DUCK['euclidean']}, 5) AS distance FROM {_ALL} a, (SELECT v AS q FROM {_ALL} WHERE id = 0) ORDER BY {_DUCK['euclidean']}, id LIMIT 10", "2.10")
 
 
+def _ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index with its default probes against knn(), over all queries: their number, and whether recall reaches 0.9."""
+    v = _vectors(spark, sf_dir).select("id", "v")
+    queries = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = InvertedLists(v, 16).search_all(queries, 10).select("qid", "id", F.lit(1).alias("hit"))
+    both = knn(v, queries, 10, "euclidean").select("qid", "id").join(found, ["qid", "id"], "left")
+    return both.agg(F.count_distinct("qid").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
+
+
+OPERATORS["vector_ivf_recall"] = Operator(_ivf_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0", "2.10")
+
 def _modes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     v = _vectors(spark, sf_dir)
     near = search(v.select("id", "v"), _first(spark, sf_dir), 50, "cosine")

@@ -83,6 +83,15 @@ def test_text(spark):
     assert got == ["hello", "world", "test"]
 
 
+def test_inverted_lists_reach_recall_by_default(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    index, exact = vector.InvertedLists(v, 16), vector.knn(v, queries, 10, "euclidean")
+    assert vector.recall(index.search_all(queries, 10), exact) >= 0.9
+    one_by_one = [r.id for r in index.search(list(queries.filter("qid = 20").first().q), 10).collect()]
+    assert one_by_one == [r.id for r in index.search_all(queries, 10).filter("qid = 20").orderBy("rank").collect()]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2, "e"), (2, 3, "e"), (2, 5, "e"), (3, 4, "e")], "src bigint, dst bigint, label string")
     g = graph.Graph(spark.createDataFrame([(i, "N") for i in range(1, 6)], "id bigint, label string"), edges)
