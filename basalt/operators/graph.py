@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -52,15 +53,15 @@ def multi_hop(graph: Graph, start: DataFrame, hops: int, mode: str = "exact") ->
     return at
 
 
-def bfs(graph: Graph, start: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, distance, parent) of all ids reachable from start(id); the least parent of those one level up.
+def bfs(graph: Graph, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, distance, parent) of all ids reachable from start(id), within max_depth levels if given; the least parent of those one level up.
 
     One frontier join per level; visited ids are removed by an anti join; lineage is cut as it goes.
     """
     reached = _cut(start.select("id").distinct().withColumn("distance", F.lit(0)).withColumn("parent", F.lit(None).cast("bigint")))
     frontier = reached
     step = graph.edges.select(F.col("src").alias("parent"), F.col("dst").alias("to"))
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = frontier.select(F.col("id").alias("parent")).join(step, "parent").groupBy(F.col("to").alias("id")).agg(F.min("parent").alias("parent"))
         frontier = _cut(found.join(reached.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("distance"), "parent"))
         if frontier.isEmpty():
@@ -154,7 +155,7 @@ def cypher(graph: Graph, query: str) -> DataFrame:
     return rows.limit(int(m["limit"])) if m["limit"] else rows
 
 
-def lineage(edges: DataFrame, start: int, max_depth: int = 64) -> DataFrame:
+def lineage(edges: DataFrame, start: int, max_depth: int | None = None) -> DataFrame:
     """Ancestors (id, depth) of a record over parent pointers edges(child, parent)."""
     graph = Graph(edges, edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("label")))
     return bfs(graph, edges.sparkSession.createDataFrame([(start,)], "id bigint"), max_depth).select("id", F.col("distance").alias("depth"))

@@ -105,6 +105,12 @@ def test_graph(spark):
     assert {r.id: (r.discovered, r.finished) for r in walk.collect()} == {1: (1, 10), 2: (2, 9), 3: (3, 6), 4: (4, 5), 5: (7, 8)}
 
 
+def test_long_chains_are_walked_to_their_end(spark):
+    chain = spark.range(67).selectExpr("id AS child", "id + 1 AS parent")
+    assert {r.id: r.depth for r in graph.lineage(chain, 0).collect()} == {i: i for i in range(68)}
+    assert graph.lineage(chain, 0, 3).count() == 4
+
+
 @pytest.mark.parametrize("wkt", ["POINT (1 2)", "LINESTRING (0 0, 1 1.5)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOINT (1 1, 2 2)", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))", "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 1 1))"])
 def test_geometry_round_trips(wkt):
     g = geo.parse_wkt(wkt)
