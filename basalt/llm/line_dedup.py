@@ -10,13 +10,15 @@ by fewer than make it recurring, it stays only in the row of the least id among
 Recurring lines go in every document, whatever is left of it. Of the texts that lose more than `max_share` of their words to them, which may be
 copies of each other, the row of the least id keeps a template's lines, so that no such text is lost altogether.
 
-Documents count by their text: copies of a text are one document. Counts are exact and over all
-documents. The tree is an aggregation on leaf, position and token of distinct lines with their counts, so
-a very common line or leaf is one row per task, and no leaf is gathered in one place. Lines travel
+Documents count by their text: copies of a text are one document, and so are all lines of one text that have
+the same token at a place or the same template. Counts are exact and over all documents. The tree is an
+aggregation on leaf, position and token of distinct lines with their counts, so a very common line or
+leaf is one row per task, and no leaf is gathered in one place; what texts with several lines of one leaf add to these
+counts more than once is counted apart, from those texts' lines only, and taken off. Lines travel
 as hashes; only one example of each distinct line in a leaf with enough documents is read again.
 
 Nulls, empties, ties: a null text counts as empty and stays null; blank lines stay. Every row gives one row,
-repeated rows and null ids too. Other columns pass through, but n_lines, n_dropped and text are
+repeated rows and null ids too. Other columns pass through, whatever their names, but n_lines, n_dropped and text are
 replaced. An empty table gives no rows.
 """
 
@@ -66,27 +68,34 @@ def line_hash(tokens: list[str]) -> int:
 def _lines(docs: DataFrame, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """th (hash of the text), line (number), words, leaf and gen (hash of the parsed line) of every distinct text.
 
-    all counts the words of the text; exact is the hash of a long line's own tokens, null for others; first is the least id of the text's rows.
+    all counts the words of the text; exact is the hash of a long line's own tokens, null for others; several tells that the text has
+    another parsed line in the same leaf; first is the least id of the text's rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            out: tuple[list, ...] = tuple([] for _ in names)
             for th, text, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 whole = text.as_py()
                 n = len(whole.split())
+                found, gens = [], {}
                 for i, line in enumerate(whole.split("\n")):
                     tokens = parse(line)
                     if len(tokens) >= min_tokens:
                         exact = line_hash(line.split()) if len(tokens) > long_tokens else None
-                        for column, value in zip(out, (th, i, len(tokens), n, leaf_of(tokens), line_hash(tokens), exact, first), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["th", "line", "words", "all", "leaf", "gen", "exact", "first"])
-
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                        leaf, gen = leaf_of(tokens), line_hash(tokens)
+                        gens.setdefault(leaf, set()).add(gen)
+                        found.append((th, i, len(tokens), n, leaf, gen, exact, first))
+                for row in found:
+                    for column, value in zip(out, (*row, len(gens[row[4]]) > 1), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    names = ["th", "line", "words", "all", "leaf", "gen", "exact", "first", "several"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     rows = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text", F.col("doc_id").cast("bigint").alias("first"))
-    parsed = rows.mapInArrow(run, "th bigint, line int, words int, all int, leaf bigint, gen bigint, exact bigint, first bigint")
-    return parsed.groupBy("th", "line", "words", "all", "leaf", "gen", "exact").agg(F.min("first").alias("first"))
+    parsed = rows.mapInArrow(run, "th bigint, line int, words int, all int, leaf bigint, gen bigint, exact bigint, first bigint, several boolean")
+    return parsed.groupBy("th", "line", "words", "all", "leaf", "gen", "exact", "several").agg(F.min("first").alias("first"))
 
 
 def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -120,17 +129,37 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, const
     tokens = _examples(docs, live.select("at.*"))
     parts = live.join(tokens, "gen").select("leaf", "gen", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     parts = written(parts, "line-tokens")
-    fixed = parts.filter(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs)
-    shaped = parts.join(fixed, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("support").isNull(), FIELD).otherwise(F.col("token")))
+    several = written(lines.filter("several").select("gen", "th").distinct(), "lines-of-one-leaf")
+    # Sums over lines are upper bounds of the documents, so what they rule out needs no second look.
+    place = ["leaf", "pos", "token"]
+    bound = parts.filter(F.col("token") != FIELD).groupBy(*place).agg(F.sum("docs").alias("sum")).filter(F.col("sum") >= min_docs)
+    fixed = _documents(bound, parts.filter(F.col("token") != FIELD).select("gen", *place), several, place).filter(F.col("sum") >= min_docs)
+    shaped = parts.join(fixed, place, "left").withColumn("token", F.when(F.col("sum").isNull(), FIELD).otherwise(F.col("token")))
     # A template is told by its leaf and the sum of its fixed tokens' placed hashes.
     placed = F.xxhash64("pos", "token").cast("decimal(38,0)")
-    templates = shaped.groupBy("leaf", "gen", "n", "docs").agg(F.sum(F.when(F.col("token") != FIELD, placed)).alias("t"), F.count(F.when(F.col("token") != FIELD, 1)).alias("fixed"), F.count(F.when((F.col("token") != FIELD) & (F.col("pos") >= DEPTH), 1)).alias("beyond"))
+    is_fixed = F.col("token") != FIELD
+    templates = shaped.groupBy("leaf", "gen", "n", "docs").agg(
+        F.coalesce(F.sum(F.when(is_fixed, placed)), F.lit(0)).alias("t"),
+        F.count(F.when(is_fixed, 1)).alias("fixed"),
+        F.count(F.when(is_fixed & (F.col("pos") >= DEPTH), 1)).alias("beyond"),
+    )
     told = (F.col("n") <= DEPTH + 1) | (F.col("beyond") > 0)  # the leaf alone does not tell a long line
     templates = written(templates.filter((F.col("fixed") >= constant * F.col("n")) & told), "templates")
-    common = templates.groupBy("leaf", "t").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
+    bound = templates.groupBy("leaf", "t").agg(F.sum("docs").alias("sum")).filter(F.col("sum") >= min_docs)
+    common = _documents(bound, templates.select("gen", "leaf", "t"), several, ["leaf", "t"]).filter(F.col("sum") >= min_docs)
     return templates.join(common, ["leaf", "t"]).select("gen", F.xxhash64("leaf", "t").alias("template")).distinct()
 
 
+def _documents(bound: DataFrame, members: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
+    """bound (key, sum), sum less what texts with more than one of a key's lines add beyond one.
+
+    members: gen and key of all lines; several: gen and th of the lines of texts with more than one line in a leaf.
+    """
+    of_text = members.join(bound.select(*key), key).join(several, "gen").groupBy(*key, "th").agg((F.count("*") - 1).alias("more"))
+    more = of_text.filter("more > 0").groupBy(*key).agg(F.sum("more").alias("more"))
+    return bound.join(more, key, "left").select(*key, (F.col("sum") - F.coalesce("more", F.lit(0))).alias("sum"))
+
+
 def repeated(lines: DataFrame, gens: DataFrame, long_docs: int = LONG_DOCS) -> DataFrame:
     """Long lines of at least long_docs texts that are not among gens: th, line, words, first, and template, here the line itself."""
     long = lines.filter("exact is not null").select("th", "line", "words", "gen", "exact", "first")
@@ -160,16 +189,18 @@ def line_dedup(
         F.collect_list("line").alias("_drop"), F.collect_list(F.when(F.col("holder"), F.col("line"))).alias("_held"), F.min("first").alias("_first")
     )
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    hit = written(hit, "dropped-lines").withColumnRenamed("th", "_th")
-    joined = docs.select(*columns, F.xxhash64("text").alias("_hash")).join(hit.hint("merge"), F.col("_hash") == F.col("_th"), "left")
+    hit = written(hit, "dropped-lines")
+    # The row travels as one struct, so that no name of its columns can meet one made here.
+    rows = docs.select(F.struct(*columns).alias("row"), F.xxhash64("text").alias("of"))
+    joined = rows.join(hit.hint("merge"), F.col("of") == F.col("th"), "left")
     # Of the holder's copies too, only the row of the least id keeps the lines.
-    held = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first"))
+    held = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("_first"))
     drop = F.coalesce(F.when(held, F.array_except("_drop", "_held")).otherwise(F.col("_drop")), F.array().cast("array<int>"))
-    joined = joined.withColumn("_drop", drop).withColumn("_all", F.split("text", "\n"))
-    left = F.filter("_all", lambda x, i: ~F.array_contains("_drop", i))
-    text = F.when(F.size("_drop") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
+    joined = joined.select("row", drop.alias("drop"), F.split("row.text", "\n").alias("all"))
+    left = F.filter("all", lambda x, i: ~F.array_contains("drop", i))
+    text = F.when(F.size("drop") == 0, F.col("row.text")).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[(text if c == "text" else F.col(c)).alias(c) for c in columns],
-        F.coalesce(F.size("_all"), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.size("_drop").cast("bigint").alias("n_dropped"),
+        *[(text if c == "text" else F.col("row")[c]).alias(c) for c in columns],
+        F.coalesce(F.size("all"), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.size("drop").cast("bigint").alias("n_dropped"),
     )
