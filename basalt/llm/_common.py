@@ -58,6 +58,20 @@ def dropped(df: DataFrame) -> None:
             target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in bad(doc_id); rows with a null id stay.
+
+    Texts stay where they are while a count shows the ids to be few; beyond BROADCAST_IDS both sides are sorted by id, which spills.
+    """
+    bad = written(bad.select("doc_id"), "ids-that-go")
+    few = bad.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(bad) if few else bad.hint("merge"), "doc_id", "left_anti")
+
+
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

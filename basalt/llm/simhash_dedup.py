@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._common import dropped, written
+from basalt.llm._common import dropped, without, written
 
 SHINGLE = 3
 SEED = 42
@@ -191,5 +191,4 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows with a null id stay."""
-    found = simhash_dedup(docs, shingle).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti")
+    return without(docs, simhash_dedup(docs, shingle).filter("doc_id <> component_id").select("doc_id").distinct())

@@ -59,8 +59,29 @@ def test_against_brute_force(spark):
 def test_fingerprint_blocks_cover_64_bits(spark):
     row = spark.sql("select array(1L, 3L, -1L) as a").select(op.simhash(F.col("a")).alias("f")).first()
     assert row.f == 3
-    blocks = op._blocks(op.RADIUS)
-    assert len(blocks) == op.RADIUS + 1 and sum(h - low for low, h in blocks) == 64
+
+
+def test_index_finds_every_pair_within_the_radius_once(spark):
+    rng = random.Random(6)
+    item = rng.getrandbits(63)
+    flip = lambda n: item ^ sum(1 << b for b in rng.sample(range(63), n))
+    items = spark.createDataFrame([(0, 7, [item]), (1, 8, [item])], "item bigint, item_id bigint, s array<bigint>")
+    rows = [(i, i, 0, [1], flip(i % 24), [0]) for i in range(480)]
+    windows = spark.createDataFrame(rows, "doc_id bigint, th bigint, start int, ws array<bigint>, fp bigint, items array<bigint>")
+    got = op.candidates(windows, items).collect()
+    assert sorted(r.doc_id for r in got) == list(range(480)) and {r.item_id for r in got} == {7}
+
+
+def test_many_items_meet_by_shuffle(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
+    items = spark.createDataFrame([(i, text(30)) for i in range(40)] + [(None, text(30)), (3, text(20))], "item_id bigint, text string")
+    long = text(60_000)
+    docs = spark.createDataFrame([(r.item_id, f"{text(9)} {r.text} {text(4)}") for r in items.collect()] + [(900, long), (901, long + items.first().text)], "doc_id bigint, text string")
+    key = lambda rows: sorted((str(r.doc_id), str(r.item_id), r.start, r.similarity) for r in rows)
+    few = key(op.find_leaks(docs, items).collect())
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
+    assert key(op.find_leaks(docs, items).collect()) == few and len(few) == 42 and any(d == "901" for d, *_ in few)
 
 
 def test_empty_tables_and_null_ids(spark):
