@@ -4,15 +4,17 @@ A logistic regression on a few counts of the text gives each document's own evid
 likelihood ratio. Hosts and paths get Beta posteriors of their share of good documents: a host's is
 shrunk towards the share of the whole corpus, a path's towards its host's, with strengths estimated from
 how much hosts (paths) differ beyond chance, so sparse sites say little. A document's final log
-odds are its path's plus its own evidence.
+odds are its path's plus its own evidence; what its host and path say of it is taken from their other documents
+only, so that no evidence counts twice.
 
 The regression is fitted on at most `max_rows` labelled rows, those of least hash(doc_id); corpus
 shares and posteriors come from all documents, by grouped aggregation of narrow rows (map-side first, so a
-host with a third of all documents is one row per task). The text is read once and not shuffled.
+host with a third of all documents is one row per task). The text is read once and not shuffled, also where rows are
+filtered: keep_good() carries it beside the counts, and sites meet the rows by broadcast while a count shows them to be few.
 
 Nulls, empties, ties: null texts count as empty; a null source is the host ''. A doc_id with
 several labels counts as good if most are (a tie: bad). Without labels of both kinds the text gives
-no evidence. Every row gives one row. Extra columns are ignored. An empty table gives no rows.
+no evidence; of rows that share a labelled id one teaches, that of least counts. Every row gives one row and is judged by itself. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from basalt.llm.quality_rules import features
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.5
+#: Sites that are broadcast at most, about 100 bytes each.
+BROADCAST_SITES = 500_000
 #: Evidence of one document, as log odds, lies within these bounds.
 EVIDENCE = 8.0
 SITE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)(?:/+([^/?#]*))?"
@@ -80,18 +84,23 @@ def _strength(groups: DataFrame, centre: Column) -> float:
     return min(max(chance / max(between, 1e-6) - 1, 5.0), 1e5)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, host, path, p_doc, p_host, p_path, p_quality and kept for each row of docs(doc_id, text, source)."""
+def _counts(docs: DataFrame, carried: Column) -> DataFrame:
+    """The regression's inputs, host and path of each row of docs(doc_id, text, source), and row, what is carried with them; a written table."""
     site = F.lower(F.coalesce("source", F.lit("")))
-    rows = docs.select(F.struct("doc_id", F.regexp_extract(site, SITE, 1).alias("host"), F.regexp_extract(site, SITE, 2).alias("path")).alias("doc_id"), "text")
-    rows = features(rows).select("doc_id.*", *[F.expr(e).alias(f"x{i}") for i, e in enumerate(INPUTS)])
-    rows = written(rows, "quality-features")
+    label = F.struct(carried.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract(site, SITE, 1).alias("host"), F.regexp_extract(site, SITE, 2).alias("path"))
+    rows = features(docs.select(label.alias("doc_id"), "text"))
+    return written(rows.select("doc_id.*", *[F.expr(e).alias(f"x{i}") for i, e in enumerate(INPUTS)]), "quality-features")
+
+
+def _judged(rows: DataFrame, labels: DataFrame, label: str, threshold: float, max_rows: int) -> DataFrame:
+    """row, doc_id, host, path, p_doc, p_host, p_path, p_quality and kept for each of _counts()."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    known = known.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) > 0.5).cast("int").alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg(F.col(label).cast("double")) > 0.5).cast("int").alias("y"))
     # At most max_rows rows of two numbers.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     names = [f"x{i}" for i in range(len(INPUTS))]
-    taught = rows.join(F.broadcast(sample), "doc_id").select("y", *names).limit(2 * max_rows).toPandas()
+    taught = rows.select("doc_id", *names).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", *names)).alias("s"))
+    taught = taught.select("s.*").toPandas()
     y = taught["y"].to_numpy(dtype=float)
     own, p_doc = F.lit(0.0), F.lit(0.5)
     if 0 < y.sum() < len(y):
@@ -102,25 +111,32 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality
         base = math.log(y.sum() / (len(y) - y.sum()))
         own = F.greatest(F.lit(-EVIDENCE), F.least(F.lit(EVIDENCE), line - base))
         p_doc = 1 / (1 + F.exp(-(own + base)))
-    scored = rows.select("doc_id", "host", "path", own.alias("own"), p_doc.alias("p_doc"))
+    scored = rows.select("row", "doc_id", "host", "path", own.alias("own"), p_doc.alias("p_doc"))
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("good")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("good").alias("good_host"))
+    whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.count("*").alias("sites")).first()
     share = (whole["good"] + 1) / (whole["n"] + 2) if whole["n"] else 0.5
-    of_hosts = _strength(hosts, F.lit(share))
-    hosts = hosts.select("host", ((F.col("good") + of_hosts * share) / (F.col("n") + of_hosts)).alias("p_host"))
-    sites = paths.join(hosts, "host")
-    of_paths = _strength(sites, F.col("p_host"))
-    sites = sites.select("host", "path", "p_host", ((F.col("good") + of_paths * F.col("p_host")) / (F.col("n") + of_paths)).alias("p_path"))
-    final = scored.join(written(sites, "sites"), ["host", "path"])
+    of_hosts = _strength(hosts.select(F.col("n_host").alias("n"), F.col("good_host").alias("good")), F.lit(share))
+    shrunk = lambda good, n, strength, centre: (good + strength * centre) / (n + strength)
+    sites = written(paths.join(hosts, "host"), "sites")
+    of_paths = _strength(sites.withColumn("centre", shrunk(F.col("good_host"), F.col("n_host"), of_hosts, share)), F.col("centre"))
+    few = whole["sites"] <= BROADCAST_SITES
+    final = scored.join(F.broadcast(sites) if few else sites.hint("merge"), ["host", "path"])
+    # A site's posterior for a document leaves the document out.
+    p_host = shrunk(F.col("good_host") - F.col("p_doc"), F.col("n_host") - 1, of_hosts, share)
+    final = final.withColumn("p_host", p_host).withColumn("p_path", shrunk(F.col("good") - F.col("p_doc"), F.col("n") - 1, of_paths, F.col("p_host")))
     odds = _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p_path")))) + F.col("own")
     return final.withColumn("p_quality", 1 / (1 + F.exp(-odds))).select(
-        "doc_id", "host", "path", "p_doc", "p_host", "p_path", "p_quality", (F.col("p_quality") >= threshold).alias("kept")
+        "row", "doc_id", "host", "path", "p_doc", "p_host", "p_path", "p_quality", (F.col("p_quality") >= threshold).alias("kept")
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept; an id goes if no row of it is kept, and rows with a null id stay."""
-    found = quality_classifier(docs, labels, **options).filter(F.col("doc_id").isNotNull())
-    bad = found.groupBy("doc_id").agg(F.max("p_quality").alias("p"), F.max("kept").alias("kept")).filter(~F.col("kept"))
-    return docs.join(bad.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")
+def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, host, path, p_doc, p_host, p_path, p_quality and kept for each row of docs(doc_id, text, source)."""
+    return _judged(_counts(docs, F.lit(0)), labels, label, threshold, max_rows).drop("row")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of docs that are kept, each judged by itself."""
+    rows = _counts(docs, F.struct(*[F.col(c) for c in docs.columns]))
+    return _judged(rows, labels, label, threshold, max_rows).filter("kept").select("row.*")

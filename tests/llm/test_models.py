@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import pytest
 
@@ -77,6 +79,44 @@ def test_quality_shrinks_sites_and_tells_documents_apart(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
 
 
+def test_quality_against_brute_force(spark):
+    """The grouped posteriors in plain Python, from the documents' own evidence as the operator gives it."""
+    docs, labels = site_rows(spark)
+    got = quality.quality_classifier(docs, labels).collect()
+    truth = {r.doc_id: r.host for r in docs.collect()}
+    y = [truth[i] for i in range(0, 600, 3)]
+    base = math.log(sum(y) / (len(y) - sum(y)))
+    logit = lambda p: math.log(p / (1 - p))
+
+    def moments(groups):
+        n = sum(n for n, _, _ in groups)
+        chance = sum(n * c * (1 - c) for n, _, c in groups) / n
+        between = sum(n * (g / n - c) ** 2 for n, g, c in groups) / n - chance * len(groups) / n
+        return min(max(chance / max(between, 1e-6) - 1, 5.0), 1e5)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r in got:
+        hosts[r.host].append(r.p_doc)
+        paths[r.host, r.path].append(r.p_doc)
+    share = (sum(r.p_doc for r in got) + 1) / (len(got) + 2)
+    a = moments([(len(v), sum(v), share) for v in hosts.values()])
+    b = moments([(len(v), sum(v), (sum(hosts[h]) + a * share) / (len(hosts[h]) + a)) for (h, _), v in paths.items()])
+    for r in got:
+        h, p = hosts[r.host], paths[r.host, r.path]
+        p_host = (sum(h) - r.p_doc + a * share) / (len(h) - 1 + a)
+        p_path = (sum(p) - r.p_doc + b * p_host) / (len(p) - 1 + b)
+        odds = logit(p_path) + max(-8, min(8, logit(r.p_doc) - base))
+        assert abs(r.p_host - p_host) < 1e-9 and abs(r.p_path - p_path) < 1e-9 and abs(r.p_quality - 1 / (1 + math.exp(-odds))) < 1e-6
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    docs, labels = site_rows(spark)
+    junk = " ".join(w + "###" for w in prose(60).split())
+    twice = docs.union(spark.createDataFrame([(0, junk, "good.example/forum", 0), (None, junk, "http://bad.example/spam", 0), (9000, "word " * 200_000, None, 0)], docs.schema))
+    kept = quality.keep_good(twice, labels, max_rows=50)
+    assert [r.text == junk for r in kept.filter("doc_id = 0").collect()] == [False] and kept.filter("doc_id is null").count() == 1
+
+
 def test_quality_without_labels_or_rows(spark):
     docs, labels = site_rows(spark)
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
