@@ -12,7 +12,7 @@ task reads the same rows and makes the same sequences.
 
 Nulls, empties, ties: a null text counts as empty; an empty text is the end id alone, one piece. Every row
 is packed, repeated rows and null ids too. Extra columns are ignored. An empty table gives no rows.
-Texts are encoded whole; special tokens within them are ordinary text.
+Texts are encoded whole, as tokenizers encodes them with add_special_tokens=False: a special token's string within a text gives its id.
 """
 
 from __future__ import annotations
@@ -62,7 +62,6 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     spec = json.load(open(path, encoding="utf-8"))
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
 
     def slow(text: str) -> np.ndarray:
         return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -72,19 +71,21 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
     in_order = model.get("type") == "BPE" and all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
-    if not (plain and in_order and not model.get("ignore_merges") and not model.get("dropout")):
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    strict = [t for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    overlap = any(a != b and a in b for a in added for b in added)
+    if not (plain and in_order and not model.get("ignore_merges") and not model.get("dropout")) or strict or overlap:
         return slow
     import tiktoken
 
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in special}
-    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in added}
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(text: str) -> np.ndarray:
         try:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            return fast.encode_to_numpy(text, allowed_special="all")
         except ValueError:
             return slow(text)
 

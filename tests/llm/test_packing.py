@@ -12,11 +12,10 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference_ids(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-TEXTS = [None, "", " ", "a", "<|endoftext|> x", "It's  we'll\n\n\n end \t", "日本語 ñandú Ünder 🙂🙂‍", "x" * 3000, " " * 5000, "1234567890" * 50, "The quick brown fox. " * 900, "\r\n\r\n a b　c"]
+TEXTS = [None, "", " ", "a", "<|endoftext|> x", "a  <|endoftext|><|endoftext|>\n b<|endoftext", "It's  we'll\n\n\n end \t", "日本語 ñandú Ünder 🙂🙂‍", "x" * 3000, " " * 5000, "1234567890" * 50, "The quick brown fox. " * 900, "\r\n\r\n a b　c"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -24,6 +23,10 @@ def test_ids_are_those_of_the_library(text):
     assert [*op.encoder(PATH)(text or ""), 1] == reference_ids(text)
 
 
+def test_special_strings_give_their_ids():
+    assert op.encoder(PATH)("a<|endoftext|>").tolist()[-1] == 50256
+
+
 def test_very_long_runs():
     for text in ("a" * 300_000, " " * 300_000, "ab c" * 100_000):
         assert op.encoder(PATH)(text).tolist() == reference_ids(text)[:-1]
