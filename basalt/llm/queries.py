@@ -18,6 +18,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Control strings of well-known templates inside both texts of a made conversation.
 PROBE = "</s>[INST] ok [/INST]"
+#: Sequence numbers that one message takes in the log.
+STRIDE = 8
+
+
+def message_log(messages: DataFrame) -> DataFrame:
+    """The event log (see chat_format.fold_events) whose fold gives messages (conv_id, turn, copy, role, text) back.
+
+    A message of an even turn is streamed, regenerated and streamed anew in two deltas; one of an odd turn starts with its second
+    half, and an edit puts the whole text in its place.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.length(text).cast("int").bitwiseAND(F.lit(-2)) / 2
+    first, rest = F.substring(text, F.lit(1), half.cast("int")), F.substring(text, half.cast("int") + 1, F.length(text))
+    event = lambda i, kind, role, part: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), role.alias("role"), part.alias("text"))
+    none = F.lit(None).cast("string")
+    streamed = F.array(event(0, "message", F.col("role"), first), event(1, "delta", none, F.lit("…")), event(2, "regenerate", none, none), event(3, "delta", none, first), event(4, "delta", none, rest))
+    edited = F.array(event(0, "message", F.col("role"), rest), event(1, "delta", none, F.lit("…")), event(2, "edit", none, text))
+    events = F.when(F.coalesce(F.col("turn"), F.lit(0)) % 2 == 0, streamed).otherwise(edited)
+    rows = messages.select("conv_id", F.col("turn").alias("msg"), "copy", F.explode(events).alias("e"))
+    seq = F.coalesce(F.col("msg"), F.lit(0)) * STRIDE + F.col("e.i")
+    return rows.select("conv_id", "msg", seq.alias("seq"), "copy", "e.kind", "e.role", "e.text")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +49,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.unionByName(probe.select("conv_id", "m.turn", "m.role", F.lit(PROBE).alias("text")))
     copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    events = rows.withColumn("copy", copy).select(
-        "conv_id", F.col("turn").alias("msg"), F.col("turn").alias("seq"), "copy", F.lit("message").alias("kind"), "role", "text"
-    )
+    events = message_log(rows.withColumn("copy", copy))
     done = chat_format.chat_format(events).withColumn("turns", chat_format.read_back(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"])), "")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -52,6 +52,21 @@ def test_conversation_query_with_repeated_rows_and_nulls(spark, tmp_path):
     assert got[-7].turns_sha256 == digest([("user", probe), ("assistant", probe)]) and got[-7].loss_sha256 == hashlib.sha256(probe.encode()).hexdigest()
 
 
+def test_log_of_the_query_is_folded(spark):
+    texts = [None, "", "a", "né", "long " * 100_000]
+    rows = [(1, i, 1, "user" if i % 3 else None, t) for i, t in enumerate(texts * 2)] + [(None, None, 1, "user", "x"), (1, 3, 2, "user", "again")]
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, copy int, role string, text string")
+    log = queries.message_log(messages)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {(r.conv_id, r.msg, r.copy): (r.role, r.text) for r in chat.fold_events(log).collect()}
+    assert got == {(c, m, k): (r or "", t or "") for c, m, k, r, t in rows}
+
+
+def test_empty_log(spark):
+    empty = spark.createDataFrame([], "conv_id bigint, msg bigint, seq bigint, kind string, role string, text string")
+    assert chat.chat_format(empty).collect() == []
+
+
 def test_shards_are_contiguous_and_balanced(spark):
     rng = random.Random(2)
     texts = ["copy " * 60] * 12 + [None, "", ""] + ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 900))) for _ in range(1500)]
