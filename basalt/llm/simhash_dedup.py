@@ -14,6 +14,16 @@ Equal fingerprints are one row before anything is emitted, so copies do not mult
 alternating large-star and small-star rounds over distinct edges, each round a written table; nothing
 but counts and checksums reaches the driver.
 
+keep_one() leaves one row of each group of texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more.
+Such pairs differ by 10 bits on average, where no ball of half the radius can be enumerated, so balls find the closest of
+them, and what they miss is found exactly by another method: near_groups() joins texts on the rare end of their shingles.
+Of two sets of m and n shingles at similarity t, put in any one order, the first m - ceil(t m) + 1 and
+n - ceil(t n) + 1 must meet. The order is by hash, with shingles that many groups share at the end. Every
+candidate of either kind is verified on the whole sets. Rows that share a shingle are not paired with each other: a few
+leaders at a time meet the rest of the row's holders, first of all those outside its largest group,
+until no row has two groups with a member that has not led. No link is lost, and a group of copies costs
+little, however large.
+
 Nulls, empties, ties: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle make one shingle of all. Every input row gives one
 output row, repeated rows and ids too; null ids stay null and never name a component unless
@@ -22,38 +32,60 @@ all its ids are null. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm._common import dropped, without, written
+from basalt.llm._common import BROADCAST_IDS, dropped, without, written
 
 SHINGLE = 3
 SEED = 42
+#: Words of a shingle and least similarity for near_groups() and keep_one().
+WORDS = 5
+SIMILARITY = 0.8
+#: Holders of a shingle that meet all its others in one round.
+LEADERS = 8
+#: A shingle that more groups share goes to the end of the order, and so many shingles at most (8 bytes each, broadcast).
+COMMON = 1000
+MOST_COMMON = 1_000_000
+#: Texts whose shingles a worker knows it has sent; it starts anew when they are so many.
+SENT = 200_000
 RADIUS = 3
 #: Words whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 1 << 15
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text as an unsigned 64-bit integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    grams = max(1, len(words) - shingle + 1)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def grams(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 values of all shingles of a text's words, repeats included, some at a time; fewer words than a shingle make one."""
     hash_of, join = xxhash.xxh64_intdigest, b" ".join
-    counts = np.zeros(64, dtype=np.int64)
-    for start in range(0, grams, CHUNK):
+    for start in range(0, max(1, len(words) - shingle + 1) if words else 0, CHUNK):
         part = words[start : start + CHUNK + shingle - 1]
         texts = [join(part)] if len(part) < shingle else map(join, zip(*[part[i:] for i in range(shingle)], strict=False))
-        h = np.array([hash_of(x, SEED) for x in texts], dtype="<u8")
+        yield np.array([hash_of(x, SEED) for x in texts], dtype="<u8")
+
+
+def simhash(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingle hashes as an unsigned 64-bit integer; of none, zero."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
         counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > grams, bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text as an unsigned 64-bit integer."""
+    return simhash(grams(words_of(text), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -189,6 +221,151 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows with a null id stay."""
-    return without(docs, simhash_dedup(docs, shingle).filter("doc_id <> component_id").select("doc_id").distinct())
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node (128-bit name of the text's words), fp, m and s (the m distinct shingle hashes, ascending, as bytes) for each row.
+
+    s is null where the worker has sent it for the node before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[str] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part, out = batch.slice(start, 500), ([], [], [], [])
+                for text in part.column(1):
+                    words = words_of(text.as_py())
+                    node = xxhash.xxh3_128_hexdigest(b" ".join(words))
+                    hashes = list(grams(words, shingle))
+                    found = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, "<u8")
+                    fp = simhash(hashes)
+                    for column, value in zip(out, (node, fp - (fp >> 63 << 64), len(found), None if node in sent else found.tobytes()), strict=True):
+                        column.append(value)
+                    sent.add(node)
+                if len(sent) > SENT:
+                    sent = set()
+                types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "node", "fp", "m", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return written(rows.mapInArrow(run, "doc_id bigint, node string, fp bigint, m int, s binary"), "shingles")
+
+
+def _short(node: Column) -> Column:
+    """64 of a node's bits, which travel in its place where every find is looked up and verified later."""
+    return F.xxhash64(node)
+
+
+def _shared_keys(sketches: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """key and a (short node) of the first shingles of each text, in the order of (is in common, hash), that two texts have."""
+    late = np.sort(common.view(np.uint64))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, names = [], []
+            for a, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(s.as_py(), "<u8")
+                n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                if len(late):
+                    h = np.concatenate([h[~(hot := np.isin(h, late, assume_unique=True))], h[hot]])
+                keys.append(h[:n])
+                names.append(np.full(n, a, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "a"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted; only the last one waits for the next batch, so a common key takes no memory.
+        wait, before = np.zeros((0, 2), np.int64), False
+        for batch in batches:
+            rows = np.concatenate([wait, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+            rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))] if len(rows) else rows
+            if not len(rows):
+                continue
+            same = rows[1:, 0] == rows[:-1, 0]
+            left = np.concatenate(([before], same))
+            out = rows[:-1][left[:-1] | same]
+            wait, before = rows[-1:], bool(left[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(2)], names=["key", "a"])
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(wait[:, i])) for i in range(2)], names=["key", "a"])
+
+    n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = sketches.filter("s is not null").select(_short(F.col("node")).alias("a"), "s").mapInArrow(first, "key bigint, a bigint")
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(linked, "key bigint, a bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets (node, s) are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+
+
+def _sets(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and s of the nodes, each once; a written table."""
+    nodes = written(nodes.select("node").distinct(), "wanted-nodes")
+    few = nodes.count() <= BROADCAST_IDS // 4
+    found = sketches.filter("s is not null").select("node", "s").join(F.broadcast(nodes) if few else nodes.hint("merge"), "node", "left_semi")
+    return written(found.dropDuplicates(["node"]), "wanted-sets")
+
+
+def _pairs(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id (smallest doc_id reachable over pairs of texts at the similarity or more) for each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
+    sketches = _sketches(docs, shingle)
+    nodes = written(sketches.groupBy("node", "fp", "m").agg(F.min("doc_id").alias("least")), "near-nodes")
+    # Balls of fingerprints.
+    points = written(nodes.groupBy("fp").agg(F.min("node").alias("point")), "near-points")
+    met = link_fingerprints(points).join(points.select(F.col("fp").alias("a"), F.col("point").alias("p")), "a").join(points.select(F.col("fp").alias("b"), F.col("point").alias("q")), "b")
+    close = met.select(*_pairs("p", "q")).union(nodes.join(points, "fp").filter("node <> point").select(*_pairs("node", "point")))
+    close = written(close.distinct(), "near-close")
+    edges = written(_verified(close, _sets(sketches, close.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "near-links")
+    roots = written(components(edges, "near-stars"), "near-roots")
+    # What differs by more: texts that share one of their first shingles.
+    brief = nodes.select("node", "m", _short(F.col("node")).alias("a"))
+    members = written(_shared_keys(sketches, similarity, np.zeros(0, np.int64)).join(brief, "a").select("key", "node", "m"), "near-members")
+    total = members.count()
+    limit = max(COMMON, -(-total // MOST_COMMON))
+    rooted = members.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).distinct()
+    common = rooted.groupBy("key").count().filter(F.col("count") > limit).select("key").toPandas()["key"].to_numpy(np.int64)
+    if len(common):
+        members = written(_shared_keys(sketches, similarity, common).join(brief, "a").select("key", "node", "m"), "near-members")
+    sets = _sets(sketches, members)
+    led = spark.createDataFrame([], "node string")
+    by_hash = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    while True:
+        now = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-now")
+        sizes = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("most"))
+        open_keys = now.join(sizes.filter("groups > 1").select("key", "most"), "key")
+        outside = open_keys.filter("root <> most").join(led, "node", "left_anti").withColumn("turn", F.row_number().over(by_hash))
+        leaders = written(outside.filter(F.col("turn") <= LEADERS).select("node").distinct(), "near-leaders")
+        if leaders.isEmpty():
+            break
+        own = now.join(leaders, "node").select("key", F.col("node").alias("p"), F.col("m").alias("of"), F.col("root").alias("from"))
+        other = now.join(led, "node", "left_anti").select("key", F.col("node").alias("q"), "m", "root")
+        fits = (F.col("root") != F.col("from")) & (F.least("m", "of") >= similarity * F.greatest("m", "of") - 1e-9)
+        pairs = written(own.join(other.hint("merge"), "key").filter(fits).select(*_pairs("p", "q")).distinct(), "near-pairs")
+        edges = written(edges.union(_verified(pairs, sets, similarity)), "near-links")
+        roots = written(components(edges, "near-stars"), "near-roots")
+        led = written(led.union(leaders), "near-led")
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(named.join(least, "root").select("node", "component_id"), "near-components")
+    return sketches.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near_groups() component; rows with a null id stay."""
+    return without(docs, near_groups(docs, shingle, similarity).filter("doc_id <> component_id").select("doc_id").distinct())

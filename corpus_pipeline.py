@@ -29,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
+    """One document of each group at five-word similarity 0.8 or more stays, that of the smallest id."""
     return simhash_dedup.keep_one(docs).select(*COLUMNS)
 
 
