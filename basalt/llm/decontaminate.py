@@ -68,10 +68,12 @@ def simhash(hashes: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays of hashes."""
-    values = F.array_distinct(F.array_intersect(a, b))
+    """Size of the multiset intersection of two arrays of hashes; values are counted only where both arrays repeat some."""
+    values = F.array_intersect(a, b)
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    return F.aggregate(values, F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v)))
+    unlike = lambda xs: F.size(F.array_distinct(xs)) == F.size(xs)
+    counted = F.aggregate(values, F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v)))
+    return F.when(unlike(a) | unlike(b), F.size(values)).otherwise(counted)
 
 
 WIDTH = 64 // BLOCKS
