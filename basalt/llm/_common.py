@@ -58,6 +58,29 @@ def dropped(df: DataFrame) -> None:
             target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Clashes of 64-bit text hashes that a plan can name; 10 ** 11 texts have about 300.
+CLASHES = 10_000
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def text_name(docs: DataFrame) -> Column:
+    """A 64-bit name for docs' column text, the same for equal texts only, as far as 128 bits of hash tell; null texts have none.
+
+    The name is a hash. One pass looks for texts that share it and differ in a second hash; these, a handful if any, are named by both.
+    """
+    one, two = _hashes(F.col("text"))
+    pairs = docs.filter("text is not null").select(one.alias("one"), two.alias("two"))
+    twice = pairs.groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).filter("low <> high")
+    clashes = [r.one for r in twice.select("one").limit(CLASHES + 1).collect()]
+    if len(clashes) > CLASHES:
+        raise RuntimeError(f"more than {CLASHES} clashes of text hashes")
+    name = F.when(one.isin(clashes), F.xxhash64(one, two)).otherwise(one) if clashes else one
+    return F.when(F.col("text").isNotNull(), name)
+
+
 #: Ids that are broadcast at most, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 

@@ -10,7 +10,7 @@ by fewer than make it recurring, it stays only in the row of the least id among
 Recurring lines go in every document, whatever is left of it. Of the texts that lose more than `max_share` of their words to them, which may be
 copies of each other, the row of the least id keeps a template's lines, so that no such text is lost altogether.
 
-Documents count by their text: copies of a text are one document, and so are all lines of one text that have
+Documents count by their text (told by 128 bits, see text_name): copies of a text are one document, and so are all lines of one text that have
 the same token at a place or the same template. Counts are exact and over all documents. The tree is an
 aggregation on leaf, position and token of distinct lines with their counts, so a very common line or
 leaf is one row per task, and no leaf is gathered in one place; what texts with several lines of one leaf add to these
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._common import written
+from basalt.llm._common import text_name, written
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -65,8 +65,8 @@ def line_hash(tokens: list[str]) -> int:
     return _signed(xxhash.xxh64_intdigest(" ".join(tokens)))
 
 
-def _lines(docs: DataFrame, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
-    """th (hash of the text), line (number), words, leaf and gen (hash of the parsed line) of every distinct text.
+def _lines(docs: DataFrame, name: Column, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """th (name of the text), line (number), words, leaf and gen (hash of the parsed line) of every distinct text.
 
     all counts the words of the text; exact is the hash of a long line's own tokens, null for others; several tells that the text has
     another parsed line in the same leaf; first is the least id of the text's rows.
@@ -93,12 +93,12 @@ def _lines(docs: DataFrame, min_tokens: int, long_tokens: int = LONG_TOKENS) ->
 
     names = ["th", "line", "words", "all", "leaf", "gen", "exact", "first", "several"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    rows = docs.filter("text is not null").select(F.xxhash64("text").alias("th"), "text", F.col("doc_id").cast("bigint").alias("first"))
+    rows = docs.filter("text is not null").select(name.alias("th"), "text", F.col("doc_id").cast("bigint").alias("first"))
     parsed = rows.mapInArrow(run, "th bigint, line int, words int, all int, leaf bigint, gen bigint, exact bigint, first bigint, several boolean")
     return parsed.groupBy("th", "line", "words", "all", "leaf", "gen", "exact", "several").agg(F.min("first").alias("first"))
 
 
-def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _examples(docs: DataFrame, name: Column, wanted: DataFrame) -> DataFrame:
     """gen and tokens of the lines wanted(th, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     gens.append(line_hash(tokens[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(gens, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], names=["gen", "tokens"])
 
-    rows = docs.filter("text is not null").select(F.xxhash64("text").alias("of"), "doc_id", "text")
+    rows = docs.filter("text is not null").select(name.alias("of"), "doc_id", "text")
     # One row of each text is read, whatever its copies: that of the least id.
     firsts = rows.groupBy(F.col("of").alias("th")).agg(F.min("doc_id").alias("first"))
     lists = wanted.groupBy("th").agg(F.collect_list("line").alias("lines")).join(firsts, "th")
@@ -120,13 +120,13 @@ def _examples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(lists.hint("merge"), same).select("text", "lines").mapInArrow(run, "gen bigint, tokens array<string>").dropDuplicates(["gen"])
 
 
-def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def recurring(docs: DataFrame, name: Column, lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """gen of the lines whose template recurs, and the hash of that template."""
     gens = lines.groupBy("leaf", "gen", "th").agg(F.min("line").alias("line")).groupBy("leaf", "gen").agg(F.count("*").alias("docs"), F.min(F.struct("th", "line")).alias("at"))
     gens = written(gens, "lines-by-hash")
     leaves = gens.groupBy("leaf").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs).select("leaf")
     live = written(gens.join(leaves, "leaf"), "lines-in-leaves")
-    tokens = _examples(docs, live.select("at.*"))
+    tokens = _examples(docs, name, live.select("at.*"))
     parts = live.join(tokens, "gen").select("leaf", "gen", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     parts = written(parts, "line-tokens")
     several = written(lines.filter("several").select("gen", "th").distinct(), "lines-of-one-leaf")
@@ -177,8 +177,9 @@ def line_dedup(
     long_docs: int = LONG_DOCS,
 ) -> DataFrame:
     """docs (doc_id, text, …) with text without its recurring lines, and n_lines and n_dropped (both bigint)."""
-    lines = written(_lines(docs, min_tokens, long_tokens), "lines")
-    gens = written(recurring(docs, lines, min_docs, constant), "recurring-lines")
+    name = text_name(docs)
+    lines = written(_lines(docs, name, min_tokens, long_tokens), "lines")
+    gens = written(recurring(docs, name, lines, min_docs, constant), "recurring-lines")
     common = lines.join(gens, "gen").select("th", "line", "words", "all", "first", "template")
     most = common.groupBy("th", "all").agg(F.sum("words").alias("lost")).filter(F.col("lost") > max_share * F.col("all")).select("th", F.lit(True).alias("shared"))
     common = common.join(most, "th", "left").select("th", "line", "first", "template", F.coalesce("shared", F.lit(False)).alias("shared"))
@@ -191,7 +192,7 @@ def line_dedup(
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     hit = written(hit, "dropped-lines")
     # The row travels as one struct, so that no name of its columns can meet one made here.
-    rows = docs.select(F.struct(*columns).alias("row"), F.xxhash64("text").alias("of"))
+    rows = docs.select(F.struct(*columns).alias("row"), name.alias("of"))
     joined = rows.join(hit.hint("merge"), F.col("of") == F.col("th"), "left")
     # Of the holder's copies too, only the row of the least id keeps the lines.
     held = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("_first"))

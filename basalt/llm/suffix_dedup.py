@@ -15,7 +15,11 @@ of neighbouring starts, about 75 of them. So the suffix array is sparse and the
    bytes before the anchors sorted likewise, tell for every offset which strings are equal, exactly.
 4. Repeated starts become byte ranges, which meet the texts again and are cut out.
 
-Texts are told apart by a 64-bit hash; copies of a text are read once in steps 2 and 3, and all their bytes are
+A gram with more than HOT anchors (a footer under a third of all pages) would fill its part: so the strings of such
+grams, one for each offset, are told by 128-bit hashes. Workers settle what is equal among their own, and one of each goes with the
+runs to the part of its hash, where equal neighbours are found. So no part depends on how common a gram or a string is.
+
+Texts are told apart by 128 bits (see text_name); copies of a text are read once in steps 2 and 3, and all their bytes are
 repeated anyway. The number of parts follows the number of anchors, so a part's size does not grow
 with the input. Nothing is collected.
 
@@ -32,10 +36,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._common import written
+from basalt.llm._common import text_name, written
 
 LENGTH = 200
 GRAM = 48
@@ -46,6 +50,11 @@ PIECE = 1 << 20
 PLACE = 21
 #: Anchors in one part of the exchange, on average.
 PART = 40_000
+#: Anchors of one gram that are merged; beyond, its strings are hashed. At most MOST_HOT grams are (8 bytes each, broadcast).
+HOT = 10_000
+MOST_HOT = 1_000_000
+#: What a hot anchor's strings weigh in a part, in anchors.
+HOT_WEIGHT = 8
 #: Bytes of suffixes that a worker gathers before it closes its runs.
 RUN_BYTES = 48 << 20
 MULT = 0x9E3779B97F4A7C15
@@ -130,7 +139,7 @@ def _settled(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """tid and packed of rows that are sure or whose h another row has too.
+    """h, tid and packed of rows that are sure or whose h another row has too.
 
     The others come sorted by h, tid and packed, and equal ones count once. Only the last row waits for
     the next batch, so a common gram takes no memory.
@@ -140,7 +149,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]], axis=1)
         sure = batch.column(3).to_numpy(zero_copy_only=False)
         if sure.any():
-            yield pa.RecordBatch.from_arrays([pa.array(rows[sure, 1]), pa.array(rows[sure, 2])], names=["tid", "packed"])
+            yield _columns(rows[sure])
         rows = np.concatenate([wait, rows[~sure]])
         rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))] if len(rows) else rows
         if not len(rows):
@@ -149,9 +158,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, after = np.concatenate(([linked], same)), np.append(same, False)
         out = rows[:-1][(before | after)[:-1]]
         wait, linked = rows[-1:], bool(before[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 1]), pa.array(out[:, 2])], names=["tid", "packed"])
+        yield _columns(out)
     if linked:
-        yield pa.RecordBatch.from_arrays([pa.array(wait[:, 1]), pa.array(wait[:, 2])], names=["tid", "packed"])
+        yield _columns(wait)
+
+
+def _columns(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], names=["h", "tid", "packed"])
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -224,38 +237,73 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
 
 
 RUN_COLUMNS = ("shared", "sizes", "tails", "left_sizes", "lefts", "lo", "hi", "counts", "refs")
-RUN_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in (*RUN_COLUMNS, "done"))
+#: Besides a run a row may carry ranges that are `done`, and hashed strings (two halves of the hash, tid, start).
+RUN_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in (*RUN_COLUMNS, "done", "strings"))
+
+
+def _row(part: int, run: tuple = (None,) * len(RUN_COLUMNS), done: np.ndarray | None = None, strings: np.ndarray | None = None) -> pa.RecordBatch:
+    cells = (*run, None if done is None else done.tobytes(), None if strings is None else strings.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["part", *RUN_COLUMNS, "done", "strings"])
+
+
+def hashed_strings(data: bytes, tid: int, places: set[int]) -> np.ndarray:
+    """Rows (two halves of the hash, tid, start) of the strings of LENGTH bytes that the anchors `places` of a text speak for."""
+    starts = [s for packed in places for s in range((packed >> 16) - (packed & 255), (packed >> 16) - (packed >> 8 & 255) + 1)]
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[s : s + LENGTH]) for s in starts), np.int64).reshape(-1, 2)
+    return np.concatenate([hashes, np.full((len(starts), 1), tid, np.int64), np.array(starts, np.int64).reshape(-1, 1)], axis=1)
+
+
+def equal_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of hashed_strings(): the ranges (tid, start, end) of those that are not alone, and one row of each string."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+    first = np.insert(~same, 0, True) if len(rows) else np.zeros(0, bool)
+    alone = first & np.append(~same, True) if len(rows) else first
+    many = rows[~alone][:, 2:]
+    many = many[np.lexsort((many[:, 1], many[:, 0]))]
+    if not len(many):
+        return np.zeros((0, 3), np.int64), rows[first]
+    # Neighbouring starts of a text make one range.
+    begins = np.insert((many[1:, 0] != many[:-1, 0]) | (many[1:, 1] > many[:-1, 1] + 1), 0, True)
+    ends = np.append(begins[1:], True)
+    return np.stack([many[begins, 0], many[begins, 1], many[ends, 1] + LENGTH], axis=1), rows[first]
 
 
 def _make_runs(parts: int):
-    """Sorted, front-coded runs of the suffixes at anchors `packed` of texts (tid, text, packed), one row for each part.
+    """Sorted, front-coded runs of the suffixes at anchors `packed` of texts (tid, text, packed, hot), one row for each part.
 
-    Anchors that are alike on both sides are repeated strings for certain: their ranges go out as `done`, to a part picked by
+    Strings of the anchors `hot` go as hashes. Anchors that are alike on both sides are repeated strings for certain: their ranges go out as `done`, to a part picked by
     the task, and one of them stands for all in the run.
     """
 
-    def close(held: dict) -> Iterator[pa.RecordBatch]:
+    def close(held: dict, strings: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ranges = [(tid, p - hi, p - lo + LENGTH) for entries in held.values() for (_, _, lo, hi), refs in entries.items() if len(refs) > 1 for tid, p in refs]
+        settled, rest = equal_strings(np.concatenate([np.zeros((0, 4), np.int64), *strings]))
+        done = np.concatenate([np.array(ranges, np.int64).reshape(-1, 3), settled])
         spread = TaskContext.get().partitionId() * 7919
-        for i in range(0, len(ranges), PART):
-            done = np.array(ranges[i : i + PART], np.int64).tobytes()
-            empty = [pa.array([None], pa.binary()) for _ in RUN_COLUMNS]
-            yield pa.RecordBatch.from_arrays([pa.array([(spread + i) % parts], pa.int32()), *empty, pa.array([done], pa.binary())], names=["part", *RUN_COLUMNS, "done"])
+        for i in range(0, len(done), PART):
+            yield _row((spread + i) % parts, done=done[i : i + PART])
         for part, entries in held.items():
             rows = sorted((k, v[:1]) for k, v in entries.items())
             shared, tails = front_code([k[0] for k, _ in rows])
             refs = [np.array(v, np.int64) for _, v in rows]
-            columns = (
+            yield _row(part, (
                 bytes(shared), bytes(map(len, tails)), b"".join(tails), bytes(len(k[1]) for k, _ in rows), b"".join(k[1] for k, _ in rows),
                 bytes(k[2] for k, _ in rows), bytes(k[3] for k, _ in rows), np.array([len(v) for v in refs], np.int32).tobytes(), np.concatenate(refs).tobytes(),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in columns), pa.array([None], pa.binary())], names=["part", *RUN_COLUMNS, "done"])
+            ))
+        of = rest[:, 0].view(U) % U(parts)
+        order = np.argsort(of, kind="stable")
+        rest, of = rest[order], of[order]
+        begins = np.flatnonzero(np.insert(of[1:] != of[:-1], 0, True)) if len(of) else []
+        for begin, end in zip(begins, [*begins[1:], len(of)], strict=False):
+            yield _row(int(of[begin]), strings=rest[begin:end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[tuple, list]] = {}
+        strings: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for tid, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for tid, text, places, hot in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for packed in set(places.as_py()):
                     p, lo, hi = packed >> 16, packed >> 8 & 255, packed & 255
@@ -263,10 +311,13 @@ def _make_runs(parts: int):
                     key = (data[p : p - lo + LENGTH], data[p - hi : p][::-1], lo, hi)
                     held.setdefault(part, {}).setdefault(key, []).append((tid, p))
                     size += LENGTH + 200
+                if hot.as_py():
+                    strings.append(hashed_strings(data, tid, set(hot.as_py())))
+                    size += strings[-1].nbytes
                 if size > RUN_BYTES:
-                    yield from close(held)
-                    held, size = {}, 0
-        yield from close(held)
+                    yield from close(held, strings)
+                    held, strings, size = {}, [], 0
+        yield from close(held, strings)
 
     return run
 
@@ -277,9 +328,12 @@ def _split(sizes: bytes, data: bytes) -> list[bytes]:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """tid, start and end of byte ranges that repeated strings cover, from the runs of one part."""
+    """tid, start and end of byte ranges that repeated strings cover, from the runs of one part and the strings hashed to it."""
     runs, more = [], []
     out = [np.frombuffer(d, np.int64).reshape(-1, 3) for d in table.column("done").to_pylist() if d]
+    strings = [np.frombuffer(d, np.int64).reshape(-1, 4) for d in table.column("strings").to_pylist() if d]
+    if strings:
+        out.append(equal_strings(np.concatenate(strings))[0])
     for row in table.select(RUN_COLUMNS).to_pylist():
         if row["shared"] is None:
             continue
@@ -334,20 +388,32 @@ def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """tid (xxhash64 of the text) with arrays starts and ends of byte ranges that repeated strings of LENGTH bytes cover."""
+def exchanged_runs(docs: DataFrame, tid: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of RUN_SCHEMA that go to parts, and the texts (tid, first, copies, size)."""
     spark = docs.sparkSession
-    base = docs.filter(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
+    base = docs.filter(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("bigint").alias("doc_id"), tid.alias("tid"), F.col("text").cast("string").alias("text"))
     texts = written(base.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("bigint").alias("size")), "texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = base.select("tid", "text").mapInArrow(_find_anchors, "h bigint, tid bigint, packed bigint, sure boolean")
     spread = F.when(F.col("sure"), F.xxhash64("tid", "packed")).otherwise(F.col("h"))
-    shared = written(anchors.repartition(n, spread).sortWithinPartitions("sure", "h", "tid", "packed").mapInArrow(_shared, "tid bigint, packed bigint"), "anchors")
-    parts = max(n, -(-shared.count() // PART))
-    lists = shared.groupBy("tid").agg(F.collect_list("packed").alias("packed")).join(texts.select("tid", "first"), "tid")
-    lists = lists.withColumnRenamed("tid", "of")
-    chosen = base.join(lists.hint("merge"), (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("tid", "text", "packed")
-    runs = chosen.mapInArrow(_make_runs(parts), RUN_SCHEMA)
+    shared = written(anchors.repartition(n, spread).sortWithinPartitions("sure", "h", "tid", "packed").mapInArrow(_shared, "h bigint, tid bigint, packed bigint"), "anchors")
+    total = shared.count()
+    most = max(HOT, -(-total // MOST_HOT))
+    hot = written(shared.groupBy("h").agg(F.count("*").alias("anchors")).filter(F.col("anchors") > most), "hot-grams")
+    heavy = hot.agg(F.sum("anchors")).first()[0] or 0
+    parts = max(n, -(-(total + HOT_WEIGHT * heavy) // PART))
+    marked = shared.join(F.broadcast(hot.select("h", F.lit(True).alias("hot"))), "h", "left")
+    lists = marked.groupBy("tid").agg(
+        F.collect_list(F.when(F.col("hot").isNull(), F.col("packed"))).alias("packed"), F.collect_list(F.when(F.col("hot"), F.col("packed"))).alias("hot")
+    )
+    lists = lists.join(texts.select("tid", "first"), "tid").withColumnRenamed("tid", "of")
+    chosen = base.join(lists.hint("merge"), (F.col("tid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("tid", "text", "packed", "hot")
+    return chosen.mapInArrow(_make_runs(parts), RUN_SCHEMA), texts
+
+
+def repeated_ranges(docs: DataFrame, tid: Column) -> DataFrame:
+    """tid (the texts' names) with arrays starts and ends of byte ranges that repeated strings of LENGTH bytes cover."""
+    runs, texts = exchanged_runs(docs, tid)
     ranges = runs.groupBy("part").applyInArrow(_repeated, "tid bigint, start bigint, end bigint")
     whole = texts.filter("copies > 1").select("tid", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
     every = written(ranges.unionByName(whole), "ranges")
@@ -370,8 +436,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 spans.append(len(cuts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tid"))
+    tid = text_name(docs)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), tid.alias("tid"))
     # Written first, so that the join has an exchange on both sides and many copies of a text can be dealt to several tasks.
-    found = written(repeated_ranges(docs), "ranges-by-text")
+    found = written(repeated_ranges(docs, tid), "ranges-by-text")
     joined = base.join(found.hint("merge"), "tid", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

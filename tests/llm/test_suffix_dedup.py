@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from basalt.llm import _common
 from basalt.llm import suffix_dedup as op
 
 
@@ -97,3 +99,33 @@ def test_merge_is_a_sort_with_common_prefixes():
         merged = [runs[r][0][i] for r, i in order]
         assert merged == sorted(x for s, _ in runs for x in s)
         assert shared == [op.common(a, b) for a, b in zip([b"", *merged[:-1]], merged)]
+
+
+def test_a_footer_under_all_texts_fills_no_part(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    footer = text(250)
+    texts = [text(rng.randrange(300, 500)) + footer + text(rng.randrange(0, 3)) for _ in range(400)] + [text(300) + footer[20:] for _ in range(30)]
+    texts += [t[:250] + text(260) for t in texts[:150]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+
+    def largest():
+        runs = exchanged = op.exchanged_runs(frame, _common.text_name(frame))[0]
+        runs = exchanged.groupBy("part").agg((F.sum(F.coalesce(F.length("lo"), F.lit(0))) + F.sum(F.coalesce(F.length("strings"), F.lit(0))) / 32 / op.HOT_WEIGHT).alias("n"))
+        sizes = [float(r.n) for r in runs.collect() if r.n]
+        return max(sizes) / (sum(sizes) / len(sizes))
+
+    monkeypatch.setattr(op, "PART", 150)
+    before = largest()
+    check(spark, texts)
+    monkeypatch.setattr(op, "HOT", 40)
+    assert largest() < 2 < before
+    check(spark, texts)
+
+
+def test_texts_whose_hashes_clash_are_told_apart(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(30)]
+    texts += [texts[3], texts[4][:220] + "x"]
+    monkeypatch.setattr(_common, "_hashes", lambda t: (F.xxhash64(t).bitwiseAND(F.lit(3)), F.xxhash64(F.lit(1), t)))
+    check(spark, texts)
