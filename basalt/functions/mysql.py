@@ -84,7 +84,7 @@ TEMPLATES: dict[str, str] = {name: f"{name}({{*}})" for name in _SAME} | {
     "timestampadd": "timestampadd({raw0}, {1}, {2})",
     "timestampdiff": "timestampdiff({raw0}, {1}, {2})",
     "datediff": "datediff({0}, {1})",
-    "timediff": "{0} - {1}",
+    "timediff": "concat(if({0} < {1}, '-', ''), format_string('%02d:%02d:%02d', abs(timestampdiff(SECOND, {1}, {0})) div 3600, abs(timestampdiff(SECOND, {1}, {0})) div 60 % 60, abs(timestampdiff(SECOND, {1}, {0})) % 60))",
     "date_format": "date_format({0}, {pattern1})",
     "time_format": "date_format({0}, {pattern1})",
     "str_to_date": "to_date({0}, {pattern1})",

@@ -114,12 +114,15 @@ OPERATORS["compliance_rules"] = Operator(
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log whose links are all alike (previous hash: of the entry before, over its own fields), with some entries tampered with."""
+    """A log in chains of two entries (so every even entry but the first has a wrong link), with some entries gone and some hashes changed."""
     log = event_log(spark, sf_dir)
-    own = log.withColumn("hash", F.sha2(F.concat_ws("|", *FIELDS), 256))
-    before = own.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash"))
-    linked = own.join(before, "seq", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(GENESIS)))
-    return verify_chain(linked.filter("seq % 500 <> 499"), 1000).filter("problem IN ('gap', 'link')")
+    even = log.filter("seq % 2 = 0").withColumn("prev_hash", F.lit(GENESIS))
+    even = even.withColumn("hash", entry_hash(F.col("prev_hash")))
+    odd = log.filter("seq % 2 = 1").join(even.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash")), "seq")
+    odd = odd.withColumn("hash", F.when(F.col("seq") % 700 == 351, F.lit("changed")).otherwise(entry_hash(F.col("prev_hash"))))
+    return verify_chain(even.unionByName(odd).filter("seq % 500 <> 499"), 1000)
 
 
-OPERATORS["audit_chain"] = Operator(_chain, "SELECT event_id AS seq, p AS problem FROM events, (VALUES ('gap'), ('link')) v(p) WHERE event_id > 0 AND event_id % 500 = 0", "2.16")
+OPERATORS["audit_chain"] = Operator(_chain, """WITH e AS (SELECT event_id AS seq, ts, lag(ts) OVER (ORDER BY event_id) AS before FROM events WHERE event_id % 500 <> 499)
+ SELECT seq, 'gap' AS problem FROM e WHERE seq > 0 AND seq % 500 = 0 UNION ALL SELECT seq, 'link' FROM e WHERE seq > 0 AND seq % 2 = 0
+ UNION ALL SELECT seq, 'checksum' FROM e WHERE seq % 700 = 351 UNION ALL SELECT seq, 'time' FROM e WHERE ts < before""", "2.16")

@@ -161,6 +161,18 @@ def lineage(edges: DataFrame, start: int, max_depth: int | None = None) -> DataF
     return bfs(graph, edges.sparkSession.createDataFrame([(start,)], "id bigint"), max_depth).select("id", F.col("distance").alias("depth"))
 
 
+def descendants(edges: DataFrame, start: int, max_depth: int | None = None) -> DataFrame:
+    """Records (id, depth) that come from a record over parent pointers edges(child, parent)."""
+    return lineage(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), start, max_depth)
+
+
+def broken_links(edges: DataFrame, records: DataFrame) -> DataFrame:
+    """Pointers (child, parent, problem) to a record that is not there, or from a record to itself."""
+    known = records.select(F.col("id").alias("parent")).distinct().withColumn("known", F.lit(True))
+    problem = F.when(F.col("child") == F.col("parent"), "self").when(F.col("known").isNull(), "missing")
+    return edges.join(known, "parent", "left").select("child", "parent", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations and customers as nodes; who belongs to whom as edges."""
     r = load(spark, sf_dir, "region").selectExpr("r_regionkey + 1000000000L AS id", "'Region' AS label", "r_name AS name", "CAST(NULL AS DOUBLE) AS balance")
@@ -198,8 +210,15 @@ OPERATORS["graph_cypher_path"] = Operator(
     lambda spark, d: cypher(trade_graph(spark, d), "MATCH (c:Customer)-[:LIVES]->(n:Nation) WHERE c.balance > 8000 AND NOT n.name = 'NATION_3' RETURN c.name, n.name"),
     "SELECT c_name AS c_name, n_name AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 8000 AND NOT n_name = 'NATION_3'", "2.11")
 OPERATORS["graph_dfs"] = Operator(
-    lambda spark, d: dfs(Graph(None, load(spark, d, "nation").selectExpr("n_regionkey + 100L AS src", "CAST(n_nationkey AS BIGINT) AS dst", "CAST(n_regionkey AS BIGINT) AS component"))).filter("id >= 100").select("component", "id"),
-    "SELECT DISTINCT n_regionkey::BIGINT AS component, (n_regionkey + 100)::BIGINT AS id FROM nation", "2.11")
+    lambda spark, d: dfs(Graph(None, load(spark, d, "nation").selectExpr("n_regionkey - 100L AS src", "CAST(n_nationkey AS BIGINT) AS dst", "CAST(n_regionkey AS BIGINT) AS component"))),
+    """WITH c AS (SELECT n_regionkey::BIGINT AS component, n_nationkey::BIGINT AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+ SELECT component, id, 2 * i AS discovered, 2 * i + 1 AS finished FROM c UNION ALL SELECT component, component - 100, 1, 2 * count(*) + 2 FROM c GROUP BY component""", "2.11")
 OPERATORS["graph_lineage"] = Operator(
     lambda spark, d: lineage(load(spark, d, "customer").selectExpr("c_custkey AS child", "c_custkey div 2 AS parent").filter("child > 0"), 1400).select("id", F.col("depth").cast("bigint").alias("depth")),
     "WITH RECURSIVE w(id, depth) AS (SELECT 1400::BIGINT, 0::BIGINT UNION ALL SELECT id // 2, depth + 1 FROM w WHERE id > 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = id)) SELECT id, depth FROM w", "2.11")
+OPERATORS["graph_descendants"] = Operator(
+    lambda spark, d: descendants(load(spark, d, "customer").selectExpr("c_custkey AS child", "c_custkey div 2 AS parent").filter("child > 0"), 3).select("id", F.col("depth").cast("bigint").alias("depth")),
+    "WITH RECURSIVE w(id, depth) AS (SELECT 3::BIGINT, 0::BIGINT UNION ALL SELECT c_custkey, depth + 1 FROM w JOIN customer ON c_custkey // 2 = id AND c_custkey > 0) SELECT id, depth FROM w", "2.11")
+OPERATORS["graph_broken_links"] = Operator(
+    lambda spark, d: broken_links(load(spark, d, "customer").selectExpr("c_custkey AS child", "c_custkey * 2 AS parent"), load(spark, d, "customer").selectExpr("c_custkey AS id")),
+    "SELECT c_custkey AS child, c_custkey * 2 AS parent, CASE WHEN c_custkey = 0 THEN 'self' ELSE 'missing' END AS problem FROM customer c WHERE c_custkey = 0 OR NOT EXISTS (SELECT 1 FROM customer k WHERE k.c_custkey = c.c_custkey * 2)", "2.11")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basalt.functions.mysql import expression as f
 from basalt.functions.mysql import register
 from basalt.plans.registry import OPERATORS, Operator
 from basalt.session import load, register_views
+from basalt.sources.shared import checkpointed
 
 
 def _family(name: str, section: str, table: str, key: str, columns: dict[str, tuple[str, str]]) -> None:
@@ -24,6 +26,8 @@ def _family(name: str, section: str, table: str, key: str, columns: dict[str, tu
 
 _I = "CAST({} AS BIGINT)".format
 _S = "n_name"
+#: CRC-32 bit by bit.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(n_name), '..'), lambda p: ('0x' || p)::BIGINT), lambda x, y: list_reduce([xor(x, y), 0, 1, 2, 3, 4, 5, 6, 7], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
 
 _family("functions_string", "2.8.1", "nation", "n_nationkey", {
     "concat_": (f("concat", _S, "'-'", _S), "concat(n_name, '-', n_name)"),
@@ -79,6 +83,14 @@ _family("functions_string", "2.8.1", "nation", "n_nationkey", {
     "unhex_": ("CAST(" + f("unhex", "'616263'") + " AS STRING)", "'abc'"),
     "quote_": (f("quote", _S), "'''' || n_name || ''''"),
     "snippet_": (f("snippet", _S, "'tion'"), "n_name"),
+    "octet_length_": (_I(f("octet_length", "concat(n_name, 'é')")), "octet_length(encode(n_name || 'é'))::BIGINT"),
+    "substr_": (f("substr", _S, "2", "n_regionkey"), "substring(n_name, 2, n_regionkey)"),
+    "printf_": (f("printf", "'%s-%03d'", _S, "n_nationkey"), "printf('%s-%03d', n_name, n_nationkey)"),
+    "weight_string_": (f("weight_string", _S), "hex(n_name)"),
+    "crc32_": (f("crc32", _S), _CRC),
+    "sha_": (f("sha", _S), "sha1(n_name)"),
+    "encrypt_": ("CAST(aes_decrypt(unbase64(" + f("encrypt", _S, "'key'") + "), substring(sha2('key', 256), 1, 32)) AS STRING)", "n_name"),
+    "decode_": (f("decode", "encode(n_name, 'UTF-8')", "'UTF-8'"), "n_name"),
 })
 
 _X = "c_acctbal"
@@ -110,6 +122,11 @@ _family("functions_numeric", "2.8.2", "customer", "c_custkey", {
     "factorial_": (_I(f("factorial", "c_nationkey % 20")), "factorial(c_nationkey % 20)::BIGINT"),
     "bit_count_": (_I(f("bit_count", "c_custkey")), "bit_count(c_custkey)::BIGINT"),
     "div_": ("c_custkey div 7", "c_custkey // 7"),
+    "trunc_": ("round(" + f("trunc", _X, "-1") + ", 1)", "round(sign(c_acctbal) * floor(abs(c_acctbal) / 10) * 10, 1)"),
+    "power_": ("round(" + f("power", "c_nationkey", "3") + ", 6)", "round(pow(c_nationkey, 3), 6)"),
+    "rand_": (f("rand") + " + c_nationkey BETWEEN c_nationkey AND c_nationkey + 1", "true"),
+    "random_": (f("random") + " < 1 + c_nationkey", "true"),
+    "ceiling_": (_I(f("ceiling", _X)), "ceil(c_acctbal)::BIGINT"),
 })
 
 _family("functions_conditional", "2.8.3", "customer", "c_custkey", {
@@ -122,6 +139,7 @@ _family("functions_conditional", "2.8.3", "customer", "c_custkey", {
     "isnan_": (f("isnan", "c_acctbal"), "isnan(c_acctbal)"),
     "try_cast_": ("try_cast(c_name AS INT)", "try_cast(c_name AS INT)"),
     "convert_": (f("convert", "c_custkey", "string"), "c_custkey::VARCHAR"),
+    "typeof_": (f("typeof", "c_acctbal") + " || c_nationkey", "'double' || c_nationkey"),
 })
 
 _D, _T = "CAST(o_orderdate AS DATE)", "(o_orderdate + INTERVAL 3723 SECOND)"
@@ -163,6 +181,21 @@ _family("functions_datetime", "2.8.4", "orders", "o_orderkey", {
     "period_diff_": (_I(f("period_diff", "202403", "202401")), "2::BIGINT"),
     "julianday_": ("round(" + f("julianday", "o_orderdate") + ", 5)", "round(epoch(o_orderdate) / 86400.0 + 2440587.5, 5)"),
     "isdate_": (f("isdate", "o_orderpriority"), "try_cast(o_orderpriority AS DATE) IS NOT NULL"),
+    "dayofmonth_": (_I(f("dayofmonth", "o_orderdate")), "day(o_orderdate)::BIGINT"),
+    "time_": (f("time", _T), "strftime(o_orderdate + INTERVAL 3723 SECOND, '%H:%M:%S')"),
+    "timestamp_": ("CAST(" + f("timestamp", "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')") + " AS TIMESTAMP_NTZ)", "o_orderdate"),
+    "datetime_": ("CAST(" + f("datetime", "date_format(o_orderdate, 'yyyy-MM-dd')") + " AS TIMESTAMP_NTZ)", "date_trunc('day', o_orderdate)::TIMESTAMP"),
+    "timediff_": (f("timediff", "o_orderdate", _T), "'-01:02:03'"),
+    "from_unixtime_": (f("from_unixtime", "o_orderkey * 86399"), "strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S')"),
+    "unix_timestamp_": (f("unix_timestamp", "o_orderdate"), "epoch(o_orderdate)::BIGINT"),
+    "convert_tz_": (f("convert_tz", "o_orderdate", "'UTC'", "'Asia/Tokyo'"), "o_orderdate + INTERVAL 9 HOUR"),
+    "now_": (f("now") + " > CAST(o_orderdate AS TIMESTAMP)", "true"),
+    "current_timestamp_": (f("current_timestamp") + " > CAST(o_orderdate AS TIMESTAMP)", "true"),
+    "curdate_": (f("curdate") + " > o_orderdate", "true"),
+    "curtime_": (f("curtime") + " RLIKE '^[0-2][0-9](:[0-5][0-9]){2}$'", "true"),
+    "utc_date_": (f("utc_date") + " > o_orderdate", "true"),
+    "utc_time_": (f("utc_time") + " RLIKE '^[0-2][0-9](:[0-5][0-9]){2}$'", "true"),
+    "utc_timestamp_": (f("utc_timestamp") + " > CAST(o_orderdate AS TIMESTAMP)", "true"),
 })
 
 _J = "props"
@@ -186,6 +219,14 @@ _family("functions_json", "2.8.5", "events", "event_id", {
     "array_insert_": (f("json_array_insert", "'[1,3]'", "'$[1]'", "'2'"), "'[1,2,3]'"),
     "depth_": (_I(f("json_depth", _J)), "2::BIGINT"),
     "contains_": (f("json_contains", "'[1,2]'", "'2'"), "true"),
+    "contains_column_": (f("json_contains", "to_json(array(event_id, 7))", "CAST(user_id AS STRING)"), "user_id IN (event_id, 7)"),
+    "json_unquote_": (f("json_unquote", f("json_quote", "event_type")), "event_type"),
+    "array_length_": (_I(f("json_array_length", "to_json(array_repeat(event_id, CAST(user_id % 5 AS INT)))")), "(user_id % 5)::BIGINT"),
+    "merge_": (f("json_merge", "to_json(array(event_id))", "to_json(array(user_id, 2))"), "'[' || event_id || ',' || user_id || ',2]'"),
+    "preserve_column_": (f("json_merge_preserve", _J, "to_json(named_struct('k', user_id))"), "'{\"k\":[' || json_extract_string(props, '$.k') || ',' || user_id || ']}'"),
+    "append_column_": (f("json_append", "to_json(array(event_id))", "'$'", "CAST(user_id AS STRING)"), "'[' || event_id || ',' || user_id || ']'"),
+    "insert_column_": (f("json_array_insert", "to_json(array(event_id, user_id))", "'$[1]'", "'5'"), "'[' || event_id || ',5,' || user_id || ']'"),
+    "set_column_": (f("json_set", _J, "'$.k'", "CAST(user_id AS STRING)"), "'{\"k\":' || user_id || '}'"),
 })
 
 _family("functions_network", "2.8.6", "nation", "n_nationkey", {
@@ -196,6 +237,12 @@ _family("functions_network", "2.8.6", "nation", "n_nationkey", {
     "charset_": (f("charset", "n_name"), "'utf8mb4'"),
     "benchmark_": (_I(f("benchmark", "10", "n_name")), "0::BIGINT"),
     "password_": (f("length", f("password", "n_name")), "41"),
+    "database_": (f("database") + " || n_name", "'default' || n_name"),
+    "schema_": (f("schema") + " || n_name", "'default' || n_name"),
+    "version_": ("length(" + f("version") + ") > 0 AND n_nationkey >= 0", "true"),
+    "users_": (f"{f('user')} = {f('session_user')} AND {f('user')} = {f('system_user')} AND n_nationkey >= 0", "true"),
+    "collation_": (f("collation", _S) + " LIKE '%UTF8_BINARY'", "true"),
+    "coercibility_": (_I(f("coercibility", _S)), "4::BIGINT"),
     "strength_": (_I(f("validate_password_strength", "n_name")), "(CASE WHEN length(n_name) < 8 THEN 25 ELSE 75 END)::BIGINT"),
 })
 
@@ -204,12 +251,50 @@ def _aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, "nation", "customer")
     return spark.sql(
         f"SELECT c_nationkey, round({f('stddev', 'c_acctbal')}, 6) AS sd, round({f('variance', 'c_acctbal')}, 4) AS var, "
-        f"{f('json_group_array', 'c_mktsegment')} IS NOT NULL AS has_json FROM customer GROUP BY c_nationkey"
+        f"array_join(array_sort(from_json({f('json_group_array', 'c_mktsegment')}, 'array<string>')), ',') AS segments, "
+        f"get_json_object({f('json_group_object', 'c_name', 'c_custkey')}, concat('$.', min(c_name))) AS first FROM customer GROUP BY c_nationkey"
     )
 
 
 OPERATORS["functions_aggregate"] = Operator(
     _aggregates,
-    "SELECT c_nationkey, round(stddev_pop(c_acctbal), 6) AS sd, round(var_pop(c_acctbal), 4) AS var, true AS has_json FROM customer GROUP BY c_nationkey",
+    "SELECT c_nationkey, round(stddev_pop(c_acctbal), 6) AS sd, round(var_pop(c_acctbal), 4) AS var, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS segments, arg_min(c_custkey, c_name)::VARCHAR AS first FROM customer GROUP BY c_nationkey",
     "2.8.7",
 )
+
+
+def json_each(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, key and value (JSON text) of the top-level members of a JSON column; elements of arrays have their place as key."""
+    rows.createOrReplaceTempView("_json_each")
+    named = ", ".join(f"t.{k}" for k in keys)
+    return rows.sparkSession.sql(f"SELECT {named}, coalesce(e.key, CAST(e.pos AS STRING)) AS key, to_json(e.value) AS value FROM _json_each t, LATERAL variant_explode(parse_json(t.{column})) e")
+
+
+def json_tree(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, path, depth, type and value (JSON text) of every node of a JSON column, the root at depth 0; levels are opened one after the other."""
+    level = rows.select(*keys, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.parse_json(column).alias("v"))
+    found = None
+    while True:
+        level = checkpointed(level.select(*keys, "path", "depth", F.to_json("v").alias("value")))
+        if level.isEmpty():
+            return found if found is not None else level.withColumn("type", F.lit(""))
+        kind = F.when(F.col("value").startswith("{"), "object").when(F.col("value").startswith("["), "array").when(F.col("value").startswith('"'), "text")
+        kind = kind.when(F.col("value").isin("true", "false"), "boolean").when(F.col("value") == "null", "null").otherwise("number")
+        part = level.withColumn("type", kind)
+        found = part if found is None else found.unionByName(part)
+        part.filter("type IN ('object', 'array')").createOrReplaceTempView("_json_level")
+        named = ", ".join(f"t.{k}" for k in keys)
+        level = rows.sparkSession.sql(f"SELECT {named}, concat(t.path, if(t.type = 'array', concat('[', e.pos, ']'), concat('.', e.key))) AS path, t.depth + 1 AS depth, e.value AS v FROM _json_level t, LATERAL variant_explode(parse_json(t.value)) e")
+
+
+_NESTED = "event_id, concat('{\"id\":', event_id, ',\"tags\":[\"', event_type, '\",', props, ',null]}') AS doc"
+OPERATORS["json_each"] = Operator(
+    lambda spark, d: json_each(load(spark, d, "events").selectExpr(*_NESTED.split(", ", 1)), "doc", "event_id"),
+    "SELECT event_id, unnest(['id', 'tags']) AS key, unnest([event_id::VARCHAR, '[\"' || event_type || '\",' || replace(props, ' ', '') || ',null]']) AS value FROM events",
+    "2.8.5",
+)
+OPERATORS["json_tree"] = Operator(
+    lambda spark, d: json_tree(load(spark, d, "events").selectExpr(*_NESTED.split(", ", 1)), "doc", "event_id").select("event_id", "path", "depth", "type"),
+    "SELECT event_id, unnest(['$', '$.id', '$.tags', '$.tags[0]', '$.tags[1]', '$.tags[2]', '$.tags[1].k']) AS path, unnest([0, 1, 1, 2, 2, 2, 3]) AS depth, unnest(['object', 'number', 'array', 'text', 'object', 'null', 'number']) AS type FROM events",
+    "2.8.5",
+)

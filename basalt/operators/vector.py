@@ -6,12 +6,14 @@ Vectors are array<float> columns; arithmetic is in doubles and stays in the JVM.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.plans.registry import OPERATORS, Operator
 from basalt.session import load
+from basalt.sources.shared import stored
 
 METRICS = ("cosine", "euclidean", "dot", "manhattan")
 #: Queries per block of an exact search; a block is broadcast, its size bounded by this and the dimension.
@@ -67,10 +69,18 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", predicate: str | None = None) -> DataFrame:
     """The k nearest vectors(id, v) of each of queries(qid, q): qid, id, distance, rank; ties go by id.
 
-    Queries are a stated set, searched in broadcast blocks against all vectors; each task keeps its own best
-    k per query before anything is shuffled.
+    Queries are a stated set, searched in broadcast blocks of about QUERY_BLOCK against all vectors; each task keeps its own
+    best k per query before anything is shuffled.
     """
     rows = vectors.filter(predicate) if predicate else vectors
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_knn_block(rows, queries.filter(block == i), k, metric) for i in range(blocks)])
+    return _knn_block(rows, queries, k, metric)
+
+
+def _knn_block(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     pairs = rows.crossJoin(F.broadcast(queries)).withColumn("distance", distance(F.col("v"), F.col("q"), metric))
     own = Window.partitionBy("qid").orderBy("distance", "id")
     return pairs.select("qid", "id", "distance").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
@@ -83,13 +93,24 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "c
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def sharded_search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", shards: int = 8) -> DataFrame:
+    """search() over shards by hash of the id: every shard gives its own k, and each id counts once among them, with its best score."""
+    scored = vectors.select("id", similarity(F.col("v"), F.lit([float(x) for x in query]), metric).alias("score"))
+    own = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(shards))).orderBy(F.desc("score"), "id")
+    best = scored.groupBy("id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(own)).filter(F.col("r") <= k)
+    return best.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+
 def within(vectors: DataFrame, query: list[float], radius: float, metric: str = "euclidean") -> DataFrame:
     """Range search: id and distance of vectors at most radius away."""
     return vectors.select("id", distance(F.col("v"), F.lit([float(x) for x in query]), metric).alias("distance")).filter(F.col("distance") <= radius)
 
 
 class InvertedLists:
-    """An IVF index: k-means centroids fitted on a bounded sample, every vector in the list of its nearest centroid."""
+    """An IVF index: k-means centroids fitted on a bounded sample, every vector in the list of its nearest centroid.
+
+    The table is stored with a directory for each list, so a search reads the lists that it probes and no others.
+    """
 
     def __init__(self, vectors: DataFrame, lists: int = 16, sample: int = 20_000, seed: int = 42) -> None:
         from pyspark.ml.clustering import KMeans
@@ -99,9 +120,12 @@ class InvertedLists:
         model = KMeans(k=lists, seed=seed).fit(ordered.orderBy("h").limit(sample))
         self.centroids = [[float(x) for x in c] for c in model.clusterCenters()]
         nearest = F.array_min(F.array(*[F.struct(distance(F.col("v"), F.lit(c), "euclidean").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)]))
-        self.table = vectors.withColumn("list", nearest["list"])
+        self.table = stored(self._entries(vectors).withColumn("list", nearest["list"]), "inverted-lists", "list")
         self.probes = max(1, math.ceil(PROBED * len(self.centroids)))
 
+    def _entries(self, vectors: DataFrame) -> DataFrame:
+        return vectors
+
     def search(self, query: list[float], k: int = 10, probes: int | None = None) -> DataFrame:
         """Top k among the lists nearest to the query: id, distance."""
         probes = probes or self.probes
@@ -113,37 +137,69 @@ class InvertedLists:
     def search_all(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
         """search() for each of queries(qid, q), as in knn() a stated set: qid, id, distance, rank."""
         probes = probes or self.probes
-        near = F.array_sort(F.array(*[F.struct(distance(F.col("q"), F.lit(c), "euclidean").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)]))
-        wanted = queries.select("qid", "q", F.explode(F.slice(near, 1, probes)).alias("near")).select("qid", "q", F.col("near.list").alias("list"))
-        pairs = self.table.join(F.broadcast(wanted), "list").select("qid", "id", distance(F.col("v"), F.col("q"), "euclidean").alias("distance"))
+        pairs = self.table.join(F.broadcast(self._wanted(queries, probes)), "list").select("qid", "id", distance(F.col("v"), F.col("q"), "euclidean").alias("distance"))
         own = Window.partitionBy("qid").orderBy("distance", "id")
         return pairs.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
+    def _wanted(self, queries: DataFrame, probes: int) -> DataFrame:
+        """queries with a row for each list that they probe."""
+        near = F.array_sort(F.array(*[F.struct(distance(F.col("q"), F.lit(c), "euclidean").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)]))
+        return queries.select("*", F.explode(F.slice(near, 1, probes)).alias("near")).withColumn("list", F.col("near.list")).drop("near")
 
-def recall(found: DataFrame, exact: DataFrame) -> float:
-    """The share of exact's (qid, id) that found holds."""
-    return found.select("qid", "id").join(exact.select("qid", "id"), ["qid", "id"]).count() / max(exact.count(), 1)
 
+class QuantizedLists(InvertedLists):
+    """IVF-PQ: inverted lists whose entries carry product codes; codes choose `keep` candidates per query, their vectors rank them."""
+
+    def __init__(self, vectors: DataFrame, lists: int = 16, parts: int = 16, words: int = 32, sample: int = 20_000, seed: int = 42) -> None:
+        self.codebooks = train_codebooks(vectors, parts, words, sample, seed)
+        super().__init__(vectors, lists, sample, seed)
+
+    def _entries(self, vectors: DataFrame) -> DataFrame:
+        return vectors.withColumn("codes", product_codes(F.col("v"), self.codebooks))
+
+    def search_all(self, queries: DataFrame, k: int = 10, probes: int | None = None, keep: int | None = None) -> DataFrame:
+        """qid, id, distance, rank: the best k of the `keep` (30 * k) nearest by codes."""
+        keep = keep or 30 * k
+        wanted = self._wanted(queries, probes or self.probes).withColumn("tables", distance_tables(F.col("q"), self.codebooks))
+        terms = F.zip_with("tables", "codes", lambda t, c: F.get(t, c))
+        rough = self.table.join(F.broadcast(wanted), "list").withColumn("rough", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+        first = Window.partitionBy("qid").orderBy("rough", "id")
+        kept = rough.select("qid", "q", "id", "v", "rough").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
+        own = Window.partitionBy("qid").orderBy("distance", "id")
+        exact = kept.select("qid", "id", distance(F.col("v"), F.col("q"), "euclidean").alias("distance"))
+        return exact.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
-def quantize(vectors: DataFrame, codebooks: list[list[list[float]]]) -> DataFrame:
-    """Product quantization: id and codes, the nearest codeword of every sub-vector."""
-    width = len(codebooks[0][0])
-    codes = []
-    for m, book in enumerate(codebooks):
-        part = F.slice("v", m * width + 1, width)
-        codes.append(F.array_min(F.array(*[F.struct(distance(part, F.lit(w), "euclidean").alias("d"), F.lit(i).alias("c")) for i, w in enumerate(book)]))["c"])
-    return vectors.select("id", F.array(*codes).alias("codes"))
 
+def train_codebooks(vectors: DataFrame, parts: int, words: int, sample: int = 20_000, seed: int = 42) -> list[list[list[float]]]:
+    """Codebooks of a product quantizer: k-means of each of `parts` equal slices of the vectors, on at most `sample` of them."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
-def quantized_distance(codes: Column, query: list[float], codebooks: list[list[list[float]]]) -> Column:
-    """Asymmetric squared distance from tables of query sub-vector to codeword."""
+    rows = stored(vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("v").cast("array<double>").alias("v")), "codebook-sample")
+    first = rows.first()
+    if first is None or len(first.v) % parts:
+        raise ValueError("vectors must divide into the parts evenly")
+    width = len(first.v) // parts
+    slices = [rows.select(array_to_vector(F.slice("v", m * width + 1, width)).alias("features")) for m in range(parts)]
+    return [[[float(x) for x in c] for c in KMeans(k=words, seed=seed, maxIter=8).fit(s).clusterCenters()] for s in slices]
+
+
+def product_codes(v: Column, codebooks: list[list[list[float]]]) -> Column:
+    """The nearest codeword of every slice of a vector."""
+    return F.transform(distance_tables(v, codebooks), lambda t: F.array_position(t, F.array_min(t)).cast("int") - 1)
+
+
+def distance_tables(v: Column, codebooks: list[list[list[float]]]) -> Column:
+    """For every slice its squared distances to all codewords."""
     width = len(codebooks[0][0])
-    total = F.lit(0.0)
-    for m, book in enumerate(codebooks):
-        part = query[m * width : (m + 1) * width]
-        table = F.array(*[F.lit(sum((x - y) ** 2 for x, y in zip(part, w, strict=True))) for w in book])
-        total = total + F.get(table, F.get(codes, F.lit(m)))
-    return total
+    gap = lambda a, w: F.aggregate(F.zip_with(a, w, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+    table = lambda part, book: F.transform(F.lit(book), lambda w: gap(part, w))
+    return F.array(*[table(F.slice(v, m * width + 1, width), book) for m, book in enumerate(codebooks)])
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of exact's (qid, id) that found holds."""
+    return found.select("qid", "id").join(exact.select("qid", "id"), ["qid", "id"]).count() / max(exact.count(), 1)
 
 
 def hybrid(sql_scores: DataFrame, vector_scores: DataFrame, alpha: float = 0.5, beta: float = 0.5, k: int = 10) -> DataFrame:
@@ -239,6 +295,21 @@ def _ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_distinct("qid").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
 
+def _ivfpq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _ivf_recall(), with product codes."""
+    v = _vectors(spark, sf_dir).select("id", "v")
+    queries = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = QuantizedLists(v, 16).search_all(queries, 10).select("qid", "id", F.lit(1).alias("hit"))
+    both = knn(v, queries, 10, "euclidean").select("qid", "id").join(found, ["qid", "id"], "left")
+    return both.agg(F.count_distinct("qid").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
+
+
+OPERATORS["vector_ivfpq_recall"] = Operator(_ivfpq_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0", "2.10")
+OPERATORS["vector_sharded"] = Operator(
+    lambda spark, d: sharded_search(_vectors(spark, d).unionByName(_vectors(spark, d).filter("id < 50")), _first(spark, d), 10).select("id", F.round("score", 6).alias("score")),
+    f"SELECT id, round(1 - ({_DUCK['cosine']}), 6) AS score FROM {_ALL} a, (SELECT v AS q FROM {_ALL} WHERE id = 0) ORDER BY {_DUCK['cosine']}, id LIMIT 10",
+    "2.10",
+)
 OPERATORS["vector_ivf_recall"] = Operator(_ivf_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0", "2.10")
 
 def _modes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import basalt.operators.audit
+import basalt.operators.catalog
 import basalt.operators.dialects
 import basalt.operators.dml
 import basalt.operators.geo

@@ -34,12 +34,13 @@ sql_operator(
     "tpch_q1",
     "2.4",
     """
-    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)) + 0.00001, 2) AS sum_disc_price,
-           round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) + 0.0000001, 2) AS sum_charge,
-           round(avg(l_quantity) + 0.0000001, 4) AS avg_qty, round(avg(l_extendedprice) + 0.0000001, 4) AS avg_price,
-           round(avg(l_discount) + 0.0000001, 4) AS avg_disc, count(*) AS count_order
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02 00:00:00'
+    SELECT l_returnflag, l_linestatus, CAST(sum(qty) AS DOUBLE) AS sum_qty, CAST(sum(price) AS DOUBLE) AS sum_base_price,
+           CAST(sum(price * (1 - disc)) AS DOUBLE) AS sum_disc_price, CAST(sum(price * (1 - disc) * (1 + tax)) AS DOUBLE) AS sum_charge,
+           CAST(sum(qty) AS DOUBLE) / count(*) AS avg_qty, CAST(sum(price) AS DOUBLE) / count(*) AS avg_price,
+           CAST(sum(disc) AS DOUBLE) / count(*) AS avg_disc, count(*) AS count_order
+    FROM (SELECT l_returnflag, l_linestatus, CAST(l_quantity AS DECIMAL(8, 2)) AS qty, CAST(l_extendedprice AS DECIMAL(12, 2)) AS price,
+                 CAST(l_discount AS DECIMAL(3, 2)) AS disc, CAST(l_tax AS DECIMAL(3, 2)) AS tax
+          FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02 00:00:00') AS l
     GROUP BY l_returnflag, l_linestatus
     """,
     tables=("lineitem",),

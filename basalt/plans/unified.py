@@ -15,6 +15,9 @@ from basalt.session import load
 #: Weights of the parts in the fused score (fixed values).
 WEIGHTS = {"sql": 0.4, "vector": 0.3, "graph": 0.3}
 
+#: Rows of the sql part whose place counts; the others score a half.
+RANKED = 50
+
 
 @dataclass
 class UnifiedQuery:
@@ -41,10 +44,12 @@ def fuse(query: UnifiedQuery, weights: dict[str, float] | None = None) -> DataFr
     parts: list[DataFrame] = []
     if query.sql:
         rows, order = query.sql
-        # A row beyond the first 50 scores the least, so only a top-k report of the rest could tell rows apart.
-        top = rows.orderBy(F.expr(order), "id").limit(50 + query.top_k)
+        # Rows beyond the first RANKED score alike: they need no rank, and of them the least ids come first in a top-k report.
+        top = rows.orderBy(F.expr(order), "id").limit(RANKED)
         rank = F.row_number().over(Window.orderBy(F.expr(order), "id")) - 1
-        parts.append(top.select("id", (weights["sql"] * (1 - F.least(rank / 100, F.lit(0.5)))).alias("score")))
+        top = top.select("id", (weights["sql"] * (1 - rank / (2 * RANKED))).alias("score"))
+        rest = rows.select("id").join(F.broadcast(top.select("id")), "id", "left_anti").distinct().orderBy("id").limit(query.top_k)
+        parts += [top, rest.select("id", F.lit(weights["sql"] * 0.5).alias("score"))]
     if query.vector:
         frame, q = query.vector
         parts.append(search(frame, q, query.top_k, "cosine").select("id", (weights["vector"] * F.col("score")).alias("score")))
@@ -70,7 +75,7 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS["unified_query"] = Operator(
     _run,
-    """WITH s AS (SELECT c_custkey AS id, 0.4 * (1 - least((row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1) / 100.0::DOUBLE, 0.5)) AS score FROM customer ORDER BY score DESC, id LIMIT 70),
+    """WITH s AS (SELECT c_custkey AS id, 0.4 * (1 - least((row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1) / 100.0::DOUBLE, 0.5)) AS score FROM customer),
  q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
  v AS (SELECT vec_id AS id, 0.3 * list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q))) AS score FROM embeddings, q ORDER BY score DESC, id LIMIT 20),
  g AS (SELECT 7 AS id, 0.3 AS score UNION ALL SELECT c_nationkey + 2000000000, 0.3 * 0.9 FROM customer WHERE c_custkey = 7 UNION ALL SELECT n_regionkey + 1000000000, 0.3 * 0.8 FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey = 7)

@@ -3,16 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(), in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one gets a temporary folder, a cluster without one an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="basalt-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="basalt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by checkpoint(), in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """df as a Parquet table of the shared folder, with a directory for each value of partition_by; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    return spark.read.parquet(path)

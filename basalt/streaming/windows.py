@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basalt.plans.registry import OPERATORS, Operator
 from basalt.session import load
+from basalt.sources.shared import shared_folder
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -56,6 +58,14 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """All that is there now, appended to a Parquet table in the shared folder: windows are written once the watermark has passed their end."""
+    folder = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
 def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """CDC: every micro-batch goes to apply(batch, number); a retried batch has the same number, so apply can skip it."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -85,5 +95,5 @@ OPERATORS["window_sliding_time"] = Operator(lambda spark, d: sliding(_events(spa
 OPERATORS["window_session"] = Operator(lambda spark, d: sessions(_events(spark, d), "30 minutes", "user_id"),
     "SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s", "2.12")
 OPERATORS["stream_daily_counts"] = Operator(
-    lambda spark, d: run_once(windowed_stream(event_stream(spark, d), "1 day", "1 hour", "event_type"), "stream_daily_counts", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"),
-    "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", "2.12")
+    lambda spark, d: run_to_table(windowed_stream(event_stream(spark, d), "1 day", "1 hour", "event_type"), "stream_daily_counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"),
+    "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)", "2.12")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from basalt import dialect
 from basalt.functions import json_paths
 from basalt.functions.mysql import call, java_pattern, register
-from basalt.operators import audit, dml, geo, graph, metadata, security, text, vector
+from basalt.operators import audit, dml, geo, graph, metadata, scalar, security, text, vector
+from basalt.operators.catalog import Catalog, ConstraintError
 from basalt.operators.quantified import quantified
+from basalt.plans import unified
 from basalt.sources import files
 from basalt.streaming import windows
 
@@ -74,8 +76,9 @@ def test_vector_edge_cases(spark):
     row = one(spark, vector.cosine_similarity(a, a).alias("s"), vector.cosine_similarity(a, F.array(F.lit(1.0))).alias("m"), vector.cosine_similarity(a, F.array(F.lit(0.0), F.lit(0.0))).alias("z"), vector.similarity(a, a, "euclidean").alias("e"))
     assert tuple(row) == (1.0, 0.0, 0.0, 1.0)
     books = [[[0.0], [1.0]], [[0.0], [2.0]]]
-    codes = vector.quantize(spark.createDataFrame([(1, [0.9, 1.8])], "id int, v array<double>"), books)
-    assert codes.select(vector.quantized_distance(F.col("codes"), [1.0, 0.0], books).alias("d")).first().d == 4.0
+    row = spark.createDataFrame([([0.9, 1.8], [1.0, 0.0])], "v array<double>, q array<double>")
+    row = row.select(vector.product_codes(F.col("v"), books).alias("codes"), vector.distance_tables(F.col("q"), books).alias("tables")).first()
+    assert sum(t[c] for t, c in zip(row.tables, row.codes, strict=True)) == 4.0
 
 
 def test_text(spark):
@@ -178,3 +181,78 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id", "id * 2 AS a", "id * 3 AS b").write.parquet(str(tmp_path / "p"))
     plan = "\n".join(r.plan for r in metadata.explain(files.read_parquet(spark, str(tmp_path / "p"), ["a"], "id = 5")).collect())
     assert "EqualTo(id,5)" in plan and "ReadSchema: struct<id:bigint,a:bigint>" in plan
+
+
+def test_unified_query_ranks_beyond_its_scored_rows(spark):
+    rows = spark.range(1000).withColumn("w", F.col("id"))
+    got = [(r.id, r.score) for r in unified.fuse(unified.UnifiedQuery(sql=(rows, "-w"), top_k=60)).collect()]
+    assert [i for i, _ in got] == [*range(999, 949, -1), *range(10)]
+    assert got[0][1] == 0.4 and abs(got[49][1] - 0.4 * 0.51) < 1e-9 and got[50][1] == got[59][1] == 0.2
+
+
+def test_queries_in_blocks_find_the_same(spark, monkeypatch):
+    v = spark.range(300).select("id", F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).cast("float") for i in range(8)]).alias("v"))
+    queries = v.filter("id % 7 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    key = lambda df: sorted((r.qid, r.id, r["rank"]) for r in df.collect())
+    whole = key(vector.knn(v, queries, 4, "euclidean"))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 10)
+    assert key(vector.knn(v, queries, 4, "euclidean")) == whole and len(whole) == 4 * 43
+
+
+def test_search_texts_agrees_with_the_index(spark):
+    docs = spark.createDataFrame([(1, "The LICENSE was released, under it"), (2, "licensed under released"), (3, None), (4, ""), (5, "under license: released!")], "doc_id bigint, text string")
+    for query in ("license released under", "under", "the", "none of these words"):
+        assert {r.doc_id for r in text.search_texts(docs, query).collect()} == {r.doc_id for r in text.search(text.inverted_index(docs), query).collect()}
+
+
+def shop(spark):
+    c = Catalog(spark)
+    c.execute("CREATE TABLE parent (id INT PRIMARY KEY, name VARCHAR(9) UNIQUE)")
+    c.execute("CREATE TABLE child (id INT PRIMARY KEY, parent INT, n INT DEFAULT 5 CHECK (n < 100), FOREIGN KEY (parent) REFERENCES parent (id))")
+    c.execute("INSERT INTO parent VALUES (1, 'a'), (2, 'b'), (3, NULL), (4, NULL)")
+    c.execute("INSERT INTO child (id, parent) VALUES (1, 1), (2, NULL)")
+    return c
+
+
+def test_statements_that_break_constraints_change_nothing(spark):
+    c = shop(spark)
+    for statement in (
+        "INSERT INTO parent VALUES (1, 'c')", "INSERT INTO parent VALUES (9, 'a')", "INSERT INTO parent VALUES (NULL, 'z')", "INSERT INTO child (id, parent) VALUES (3, 77)",
+        "INSERT INTO child VALUES (3, 1, 100)", "UPDATE child SET n = 200 WHERE id = 1", "CREATE UNIQUE INDEX u ON child (n)",
+    ):
+        with pytest.raises(ConstraintError):
+            c.execute(statement)
+    assert sorted(tuple(r) for r in c.execute("SELECT * FROM child").collect()) == [(1, 1, 5), (2, None, 5)]
+    c.execute("CREATE TABLE IF NOT EXISTS child (x INT)")
+    c.execute("DROP TABLE IF EXISTS nothing")
+    with pytest.raises(ValueError, match="exists"):
+        c.execute("CREATE TABLE child (x INT)")
+
+
+def test_triggers_procedures_and_indexes(spark):
+    c = shop(spark)
+    c.execute("CREATE TABLE log (id INT, before INT, after INT)")
+    c.execute("CREATE TRIGGER t AFTER UPDATE ON child FOR EACH ROW INSERT INTO log (id, before, after) VALUES (OLD.id, OLD.n, NEW.n)")
+    c.execute("CREATE TRIGGER s BEFORE UPDATE ON child FOR EACH ROW SET NEW.n = NEW.n + 1")
+    c.execute("UPDATE child SET n = id * 10 WHERE id = 2")
+    assert [tuple(r) for r in c.execute("SELECT * FROM log").collect()] == [(2, 5, 21)]
+    c.execute("CREATE PROCEDURE of_parent (IN p INT) BEGIN SELECT id, n FROM child WHERE parent = p; END")
+    assert [tuple(r) for r in c.execute("CALL of_parent(1)").collect()] == [(1, 5)]
+    c.execute("CREATE INDEX i ON child (parent, n)")
+    assert [(r.index_name, r.seq_in_index, r.column_name) for r in c.execute("SHOW INDEX FROM child").collect()] == [("PRIMARY", 1, "id"), ("i", 1, "parent"), ("i", 2, "n")]
+    c.execute("DROP INDEX i ON child")
+    assert c.execute("SHOW INDEX FROM child").count() == 1
+
+
+def test_json_functions_give_rows(spark):
+    rows = spark.createDataFrame([(1, '{"a": [1, {"b": null}], "c": "x"}'), (2, "[]"), (3, "7"), (4, None)], "id int, doc string")
+    assert sorted(tuple(r) for r in scalar.json_each(rows, "doc", "id").collect()) == [(1, "a", '[1,{"b":null}]'), (1, "c", '"x"')]
+    tree = {(r.id, r.path, r.depth, r.type) for r in scalar.json_tree(rows.filter("doc IS NOT NULL"), "doc", "id").collect()}
+    assert tree == {(1, "$", 0, "object"), (1, "$.a", 1, "array"), (1, "$.a[0]", 2, "number"), (1, "$.a[1]", 2, "object"), (1, "$.a[1].b", 3, "null"), (1, "$.c", 1, "text"), (2, "$", 0, "array"), (3, "$", 0, "number")}
+
+
+def test_broken_links_and_descendants(spark):
+    edges = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 4), (5, 99)], "child bigint, parent bigint")
+    records = spark.range(6)
+    assert {tuple(r) for r in graph.broken_links(edges, records).collect()} == {(4, 4, "self"), (5, 99, "missing")}
+    assert {tuple(r) for r in graph.descendants(edges, 0).collect()} == {(0, 0), (1, 1), (2, 2), (3, 2)}
