@@ -18,7 +18,7 @@ keep_one() leaves one row of each group of texts whose sets of five-word shingle
 Such pairs differ by 10 bits on average, where no ball of half the radius can be enumerated, so balls find the closest of
 them, and what they miss is found exactly by another method: near_groups() joins texts on the rare end of their shingles.
 Of two sets of m and n shingles at similarity t, put in any one order, the first m - ceil(t m) + 1 and
-n - ceil(t n) + 1 must meet. The order is by hash, with shingles that many groups share at the end. Every
+n - ceil(t n) + 1 must meet. The order is by hash, with shingles that many texts share at the end. Every
 candidate of either kind is verified on the whole sets. Rows that share a shingle are not paired with each other: a few
 leaders at a time meet the rest of the row's holders, first of all those outside its largest group,
 until no row has two groups with a member that has not led. No link is lost, and a group of copies costs
@@ -50,8 +50,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Holders of a shingle that meet all its others in one round.
 LEADERS = 8
-#: A shingle that more groups share goes to the end of the order, and so many shingles at most (8 bytes each, broadcast).
-COMMON = 1000
+#: A shingle that more texts share goes to the end of the order; beyond MOST_COMMON times as many rows only the more common ones, so
+#: that there are at most so many (8 bytes each, broadcast). The order changes no result.
+COMMON = 8
 MOST_COMMON = 1_000_000
 #: Texts whose shingles a worker knows it has sent; it starts anew when they are so many.
 SENT = 200_000
@@ -221,56 +222,93 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (128-bit name of the text's words), fp, m and s (the m distinct shingle hashes, ascending, as bytes) for each row.
+def _sketch(text: str | None, shingle: int) -> tuple[str, int, np.ndarray]:
+    """The 128-bit name of a text's words, their fingerprint (as a signed long) and their distinct shingle hashes, ascending."""
+    words = words_of(text)
+    hashes = list(grams(words, shingle))
+    fp = simhash(hashes)
+    found = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, "<u8")
+    return xxhash.xxh3_128_hexdigest(b" ".join(words)), fp - (fp >> 63 << 64), found
 
-    s is null where the worker has sent it for the node before.
+
+def _first(hashes: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """The shingles of which one is common to any two sets at the similarity, in the order of (is in late, hash)."""
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    if len(late):
+        hot = np.isin(hashes, late, assume_unique=True)
+        hashes = np.concatenate([hashes[~hot], hashes[hot]])
+    return hashes[:n]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, node (128-bit name of the text's words), fp, m (distinct shingles) and first (bytes of _first()) for each row.
+
+    first is null where the worker has sent it for the node before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[str] = set()
+        none = np.zeros(0, np.uint64)
+        types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part, out = batch.slice(start, 500), ([], [], [], [])
-                for text in part.column(1):
-                    words = words_of(text.as_py())
-                    node = xxhash.xxh3_128_hexdigest(b" ".join(words))
-                    hashes = list(grams(words, shingle))
-                    found = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, "<u8")
-                    fp = simhash(hashes)
-                    for column, value in zip(out, (node, fp - (fp >> 63 << 64), len(found), None if node in sent else found.tobytes()), strict=True):
-                        column.append(value)
-                    sent.add(node)
-                if len(sent) > SENT:
-                    sent = set()
-                types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "node", "fp", "m", "s"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return written(rows.mapInArrow(run, "doc_id bigint, node string, fp bigint, m int, s binary"), "shingles")
-
-
-def _short(node: Column) -> Column:
+            out: tuple[list, ...] = ([], [], [], [])
+            for text in batch.column(1):
+                node, fp, found = _sketch(text.as_py(), shingle)
+                for column, value in zip(out, (node, fp, len(found), None if node in sent else _first(found, similarity, none).tobytes()), strict=True):
+                    column.append(value)
+                sent.add(node)
+            if len(sent) > SENT:
+                sent = set()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "node", "fp", "m", "first"])
+
+    return written(_rows(docs).mapInArrow(run, "doc_id bigint, node string, fp bigint, m int, first binary"), "near-sketches")
+
+
+def _short(node: str) -> int:
     """64 of a node's bits, which travel in its place where every find is looked up and verified later."""
-    return F.xxhash64(node)
+    return int(node[:16], 16) - (int(node[0], 16) >> 3 << 64)
 
 
-def _shared_keys(sketches: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """key and a (short node) of the first shingles of each text, in the order of (is in common, hash), that two texts have."""
-    late = np.sort(common.view(np.uint64))
+def _keys(sketches: DataFrame) -> DataFrame:
+    """key and a (short node) for the first shingles of all texts, by hash alone."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, names = [], []
-            for a, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.frombuffer(s.as_py(), "<u8")
-                n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
-                if len(late):
-                    h = np.concatenate([h[~(hot := np.isin(h, late, assume_unique=True))], h[hot]])
-                keys.append(h[:n])
-                names.append(np.full(n, a, np.int64))
+            keys = [np.frombuffer(f.as_py(), np.int64) for f in batch.column(1)]
+            names = [np.full(len(k), _short(n), np.int64) for k, n in zip(keys, batch.column(0).to_pylist(), strict=True)]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "a"])
+
+    return sketches.filter("first is not null").select("node", "first").mapInArrow(run, "key bigint, a bigint")
+
+
+def _ordered_keys(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """As _keys(), with the shingles `common` at the end of the order; texts are read again."""
+    shared = docs.sparkSession.sparkContext.broadcast(common.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, sent = shared.value, set()
+        for batch in batches:
+            keys, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text in batch.column(1):
+                node, _, found = _sketch(text.as_py(), shingle)
+                if node not in sent:
+                    keys.append(_first(found, similarity, late).view(np.int64))
+                    names.append(np.full(len(keys[-1]), _short(node), np.int64))
+                sent.add(node)
+            if len(sent) > SENT:
+                sent = set()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "a"])
+
+    return _rows(docs).mapInArrow(run, "key bigint, a bigint")
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The distinct rows (key, a) whose key two texts have."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted; only the last one waits for the next batch, so a common key takes no memory.
@@ -288,13 +326,12 @@ def _shared_keys(sketches: DataFrame, similarity: float, common: np.ndarray) ->
         if before:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(wait[:, i])) for i in range(2)], names=["key", "a"])
 
-    n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = sketches.filter("s is not null").select(_short(F.col("node")).alias("a"), "s").mapInArrow(first, "key bigint, a bigint")
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(linked, "key bigint, a bigint")
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(keyed.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(linked, "key bigint, a bigint"), "near-keys")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets (node, s) are similar."""
+    """Those of the pairs (a, b) of ids whose sets (id, s) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,67 +342,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id and s (all distinct shingle hashes, as bytes) of the ids; a written table. Only rows of their texts are read again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                found = [_sketch(t.as_py(), shingle) for t in batch.column(1)[start : start + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in found], pa.string()), pa.array([h.tobytes() for *_, h in found], pa.binary())], names=["node", "s"])
 
-def _sets(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and s of the nodes, each once; a written table."""
-    nodes = written(nodes.select("node").distinct(), "wanted-nodes")
-    few = nodes.count() <= BROADCAST_IDS // 4
-    found = sketches.filter("s is not null").select("node", "s").join(F.broadcast(nodes) if few else nodes.hint("merge"), "node", "left_semi")
-    return written(found.dropDuplicates(["node"]), "wanted-sets")
+    wanted = written(ids.select("id").distinct().join(nodes, "id").select("id", "node"), "near-wanted")
+    rows = written(sketches.filter("first is not null").join(wanted, "node").select(F.col("doc_id").alias("of")).distinct(), "near-wanted-rows")
+    few = rows.count() <= BROADCAST_IDS
+    texts = _rows(docs)
+    texts = texts.join(F.broadcast(rows) if few else rows.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    made = texts.mapInArrow(run, "node string, s binary").join(wanted, "node")
+    return written(made.select("id", "s").dropDuplicates(["id"]), "near-sets")
 
 
-def _pairs(a: str, b: str) -> list[Column]:
+def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable over pairs of texts at the similarity or more) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    sketches = _sketches(docs, shingle)
-    nodes = written(sketches.groupBy("node", "fp", "m").agg(F.min("doc_id").alias("least")), "near-nodes")
+    sketches = _sketches(docs, shingle, similarity)
+    nodes = sketches.groupBy("node", "fp", "m").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
+    nodes = written(nodes.withColumn("a", F.conv(F.substring("node", 1, 16), 16, -10).cast("bigint")), "near-nodes")
     # Balls of fingerprints.
-    points = written(nodes.groupBy("fp").agg(F.min("node").alias("point")), "near-points")
+    points = written(nodes.groupBy("fp").agg(F.min("id").alias("point")), "near-points")
     met = link_fingerprints(points).join(points.select(F.col("fp").alias("a"), F.col("point").alias("p")), "a").join(points.select(F.col("fp").alias("b"), F.col("point").alias("q")), "b")
-    close = met.select(*_pairs("p", "q")).union(nodes.join(points, "fp").filter("node <> point").select(*_pairs("node", "point")))
+    close = met.select(*_pair("p", "q")).union(nodes.join(points, "fp").filter("id <> point").select(*_pair("id", "point")))
     close = written(close.distinct(), "near-close")
-    edges = written(_verified(close, _sets(sketches, close.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "near-links")
+    edges = written(_verified(close, _sets(docs, sketches, nodes, close.select(F.explode(F.array("a", "b")).alias("id")), shingle), similarity), "near-links")
     roots = written(components(edges, "near-stars"), "near-roots")
     # What differs by more: texts that share one of their first shingles.
-    brief = nodes.select("node", "m", _short(F.col("node")).alias("a"))
-    members = written(_shared_keys(sketches, similarity, np.zeros(0, np.int64)).join(brief, "a").select("key", "node", "m"), "near-members")
-    total = members.count()
-    limit = max(COMMON, -(-total // MOST_COMMON))
-    rooted = members.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).distinct()
-    common = rooted.groupBy("key").count().filter(F.col("count") > limit).select("key").toPandas()["key"].to_numpy(np.int64)
+    keys = _shared(_keys(sketches))
+    limit = max(COMMON, -(-keys.count() // MOST_COMMON))
+    common = keys.groupBy("key").count().filter(F.col("count") > limit).select("key").toPandas()["key"].to_numpy(np.int64)
     if len(common):
-        members = written(_shared_keys(sketches, similarity, common).join(brief, "a").select("key", "node", "m"), "near-members")
-    sets = _sets(sketches, members)
-    led = spark.createDataFrame([], "node string")
-    by_hash = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        dropped(keys)
+        keys = _shared(_ordered_keys(docs, shingle, similarity, np.sort(common.view(np.uint64)).view(np.int64)))
+    rows = _open(keys.join(nodes.select("id", "m", "a"), "a").select("key", "id", "m", F.col("id").alias("root"), F.lit(False).alias("led")), roots)
+    sets = _sets(docs, sketches, nodes, rows, shingle)
+    by_hash = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
     while True:
-        now = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-now")
-        sizes = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("most"))
-        open_keys = now.join(sizes.filter("groups > 1").select("key", "most"), "key")
-        outside = open_keys.filter("root <> most").join(led, "node", "left_anti").withColumn("turn", F.row_number().over(by_hash))
-        leaders = written(outside.filter(F.col("turn") <= LEADERS).select("node").distinct(), "near-leaders")
+        outside = rows.filter("root <> most and not led").withColumn("turn", F.row_number().over(by_hash))
+        leaders = written(outside.filter(F.col("turn") <= LEADERS).select("id").distinct(), "near-leaders")
         if leaders.isEmpty():
             break
-        own = now.join(leaders, "node").select("key", F.col("node").alias("p"), F.col("m").alias("of"), F.col("root").alias("from"))
-        other = now.join(led, "node", "left_anti").select("key", F.col("node").alias("q"), "m", "root")
+        own = rows.join(leaders, "id").select("key", F.col("id").alias("p"), F.col("m").alias("of"), F.col("root").alias("from"))
+        other = rows.filter("not led").select("key", F.col("id").alias("q"), "m", "root")
         fits = (F.col("root") != F.col("from")) & (F.least("m", "of") >= similarity * F.greatest("m", "of") - 1e-9)
-        pairs = written(own.join(other.hint("merge"), "key").filter(fits).select(*_pairs("p", "q")).distinct(), "near-pairs")
-        edges = written(edges.union(_verified(pairs, sets, similarity)), "near-links")
-        roots = written(components(edges, "near-stars"), "near-roots")
-        led = written(led.union(leaders), "near-led")
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least")
+        pairs = written(own.join(other.hint("merge"), "key").filter(fits).select(*_pair("p", "q")).distinct(), "near-pairs")
+        found = written(edges.union(_verified(pairs, sets, similarity)), "near-links")
+        now = written(components(found, "near-stars"), "near-roots")
+        left = rows.join(leaders.withColumn("now", F.lit(True)), "id", "left").select("key", "id", "m", "root", (F.col("led") | F.col("now").isNotNull()).alias("led"))
+        left = _open(left, now)
+        for old in (pairs, leaders, rows, roots, edges):
+            dropped(old)
+        rows, roots, edges = left, now, found
+    named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("node", "component_id"), "near-components")
     return sketches.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (key, id, m, root, led) with their roots brought up to date and most, the root that has most of a key's rows; of keys with one root, none.
+
+    Roots only ever merge, so a key that has one is done with. A written table.
+    """
+    now = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    now = written(now, "near-rows")
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("most"))
+    kept = written(now.join(sizes.filter("groups > 1").select("key", "most"), "key"), "near-open")
+    dropped(now)
+    return kept
+
+
 def keep_one(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its near_groups() component; rows with a null id stay."""
     return without(docs, near_groups(docs, shingle, similarity).filter("doc_id <> component_id").select("doc_id").distinct())

@@ -65,12 +65,13 @@ def corpus(seed):
     return rows + [(7, rows[0][1]), (None, texts[3]), (None, " ".join(prose(30)))]
 
 
-def test_against_all_pairs(spark):
+def test_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(op, "COMMON", 1000)
     check(spark, corpus(1))
 
 
 def test_common_shingles_go_to_the_end_of_the_order(spark, monkeypatch):
-    monkeypatch.setattr(op, "COMMON", 5)
+    monkeypatch.setattr(op, "COMMON", 1)
     monkeypatch.setattr(op, "LEADERS", 3)
     check(spark, corpus(2))
 
@@ -89,5 +90,5 @@ def test_very_long_texts_and_empty_table(spark):
 def test_sketch_and_fingerprint_agree(spark, shingle):
     rows = corpus(5)[:60]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {(r.doc_id, r.fp) for r in op._sketches(frame, shingle).collect()}
+    got = {(r.doc_id, r.fp) for r in op._sketches(frame, shingle, 0.8).collect()}
     assert got == {(d, (f := op.fingerprint(t, shingle)) - (f >> 63 << 64)) for d, t in rows}
