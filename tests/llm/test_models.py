@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from basalt.llm import quality_classifier as quality
@@ -121,3 +122,43 @@ def test_quality_without_labels_or_rows(spark):
     docs, labels = site_rows(spark)
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
     assert quality.quality_classifier(docs.limit(0), labels).collect() == []
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    rng = random.Random(3)
+    rows = [(np.unique([rng.randrange(60) for _ in range(rng.randrange(1, 12))]).astype(np.int32), rng.randrange(2)) for _ in range(80)]
+    bias, at, weights = toxicity.ftrl(rows, epochs=3, alpha=0.7, beta=0.9, l1=0.4, l2=0.1)
+    seen = defaultdict(int)
+    for f, _ in rows:
+        for i in f.tolist():
+            seen[i] += 1
+    z, n = defaultdict(float), defaultdict(float)
+    rate = sum(y for _, y in rows) / len(rows)
+    start, shift, shift_n = math.log(rate / (1 - rate)), 0.0, 1.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.4 else (math.copysign(0.4, z[i]) - z[i]) / ((0.9 + math.sqrt(n[i])) / 0.7 + 0.1)
+
+    for _ in range(3):
+        for f, y in rows:
+            known = [i for i in f.tolist() if seen[i] > 1]
+            w = {i: weight(i) for i in known}
+            g = 1 / (1 + math.exp(-(start + shift + sum(w.values())))) - y
+            for i in known:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            shift_n += g * g
+            shift -= 0.05 * g / math.sqrt(shift_n)
+    assert abs(bias - start - shift) < 1e-9
+    assert {i: round(w, 9) for i, w in zip(at.tolist(), weights.tolist(), strict=True)} == {i: round(weight(i), 9) for i in z if weight(i) != 0}
+
+
+def test_very_long_text_scores_as_its_parts_say(spark):
+    words = [f"w{i % 5000}" for i in range(toxicity.CHUNK + 3000)]
+    hasher = toxicity.Hasher()
+    whole = set(hasher.features(" ".join(words)).tolist())
+    parts = set()
+    for i in range(0, len(words), 1000):
+        parts |= set(hasher.features(" ".join(words[i : i + 1002])).tolist())
+    assert whole == parts
