@@ -256,3 +256,27 @@ def test_broken_links_and_descendants(spark):
     records = spark.range(6)
     assert {tuple(r) for r in graph.broken_links(edges, records).collect()} == {(4, 4, "self"), (5, 99, "missing")}
     assert {tuple(r) for r in graph.descendants(edges, 0).collect()} == {(0, 0), (1, 1), (2, 2), (3, 2)}
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "touch", "cross", "overlap"),
+    [
+        ("POINT(0 0)", "LINESTRING(0 0,1 0)", True, False, False),
+        ("POINT(0.5 0)", "LINESTRING(0 0,1 0)", False, False, False),
+        ("MULTIPOINT(0.5 0,9 9)", "LINESTRING(0 0,1 0)", False, True, False),
+        ("LINESTRING(0 0,2 2)", "LINESTRING(0 2,2 0)", False, True, False),
+        ("LINESTRING(0 0,2 0)", "LINESTRING(1 0,3 0)", False, False, True),
+        ("LINESTRING(0 0,1 0)", "LINESTRING(1 0,2 0)", True, False, False),
+        ("LINESTRING(0 0,4 0)", "POLYGON((0 0,4 0,4 4,0 4,0 0))", True, False, False),
+        ("LINESTRING(1 1,9 1)", "POLYGON((0 0,4 0,4 4,0 4,0 0))", False, True, False),
+        ("LINESTRING(1 1,2 1)", "POLYGON((0 0,4 0,4 4,0 4,0 0))", False, False, False),
+        ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((0 0,4 0,4 4,0 4,0 0))", False, False, False),
+        ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((2 -1,3 -1,3 5,2 5,2 -1))", False, False, True),
+        ("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((4 4,5 4,5 5,4 5,4 4))", True, False, False),
+        ("POLYGON((0 0,9 0,9 9,0 9,0 0),(1 1,8 1,8 8,1 8,1 1))", "POLYGON((1 1,8 1,8 8,1 8,1 1))", True, False, False),
+    ],
+)
+def test_relations_of_boundaries(a, b, touch, cross, overlap):
+    for x, y in ((a, b), (b, a)):
+        x, y = geo.parse_wkt(x), geo.parse_wkt(y)
+        assert (geo.touches(x, y), geo.crosses(x, y), geo.overlaps(x, y)) == (touch, cross, overlap)
