@@ -177,3 +177,20 @@ f AS (SELECT o.*, coalesce(grouped, own)::INTEGER AS shard FROM o LEFT JOIN g US
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM f
 """
 ORACLE_SQL["op4_sharding"] = OP4_SQL
+
+#: Every 200-byte string of every text (as hex, cut into pieces first) by its MD5; what repeats, as merged runs, and the bytes between them.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT *, length(h) // 2 AS n FROM d),
+c AS (SELECT r, n, b, substring(h, 2 * b + 1, 2398) AS p FROM (SELECT *, unnest(range(0, n - 199, 1000)) AS b FROM t WHERE n >= 200)),
+s AS (SELECT r, b + i AS start, md5(substring(p, 2 * i + 1, 400)) AS k FROM (SELECT *, unnest(range(0, least(1000, n - 199 - b))) AS i FROM c)),
+m AS (SELECT r, start FROM s SEMI JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) USING (k)),
+f AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY r ORDER BY start) <= 200 THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM f),
+u AS (SELECT r, run, min(start) AS a, max(start) + 200 AS z FROM g GROUP BY r, run),
+e AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM u UNION ALL SELECT r, coalesce(max(u.z), 0), any_value(n) FROM t LEFT JOIN u USING (r) GROUP BY r),
+k AS (SELECT r, string_agg(substring(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS left_over FROM e JOIN t USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - length(left_over) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM u WHERE u.r = t.r) AS n_spans, sha256(unhex(left_over)) AS kept_sha256
+FROM t JOIN k USING (r)
+"""
+ORACLE_SQL["op10_suffix_dedup"] = OP10_SQL
