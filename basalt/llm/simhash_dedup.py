@@ -19,10 +19,10 @@ Such pairs differ by 10 bits on average, where no ball of half the radius can be
 them, and what they miss is found exactly by another method: near_groups() joins texts on the rare end of their shingles.
 Of two sets of m and n shingles at similarity t, put in any one order, the first m - ceil(t m) + 1 and
 n - ceil(t n) + 1 must meet. The order is by hash, with shingles that many texts share at the end. Every
-candidate of either kind is verified on the whole sets. Rows that share a shingle are not paired with each other: a few
-leaders at a time meet the rest of the row's holders, first of all those outside its largest group,
-until no row has two groups with a member that has not led. No link is lost, and a group of copies costs
-little, however large.
+candidate of either kind is verified on the whole sets. Texts that share a shingle are not paired with each other: a few
+leaders at a time meet the rest of a shingle's holders, first of all those outside its largest group,
+until no shingle has two groups with a member that has not led; pairs that share fewer first shingles than their sizes and
+the similarity demand are not looked at. No link is lost, and a group of copies costs little, however large.
 
 Nulls, empties, ties: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; fewer words than a shingle make one shingle of all. Every input row gives one
@@ -364,6 +364,17 @@ def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, ids: DataFrame
     return written(made.select("id", "s").dropDuplicates(["id"]), "near-sets")
 
 
+def _least_shared(m: Column, n: Column, similarity: float) -> Column:
+    """How many of their first shingles two sets of m and n at the similarity share at least.
+
+    Of the set whose first shingles end earlier in the order, all that the other one has count as shared, and at most m less the least
+    common number are not among the other's. Which of the two it is is not known, so the lesser bound holds.
+    """
+    common = F.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
+    spare = lambda k: (k - F.ceil(similarity * k - 1e-9) + 1) - (k - common)
+    return F.greatest(F.lit(1), F.least(spare(m), spare(n)))
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -379,7 +390,9 @@ def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
     met = link_fingerprints(points).join(points.select(F.col("fp").alias("a"), F.col("point").alias("p")), "a").join(points.select(F.col("fp").alias("b"), F.col("point").alias("q")), "b")
     close = met.select(*_pair("p", "q")).union(nodes.join(points, "fp").filter("id <> point").select(*_pair("id", "point")))
     close = written(close.distinct(), "near-close")
-    edges = written(_verified(close, _sets(docs, sketches, nodes, close.select(F.explode(F.array("a", "b")).alias("id")), shingle), similarity), "near-links")
+    sets = _sets(docs, sketches, nodes, close.select(F.explode(F.array("a", "b")).alias("id")), shingle)
+    edges = written(_verified(close, sets, similarity), "near-links")
+    dropped(sets)
     roots = written(components(edges, "near-stars"), "near-roots")
     # What differs by more: texts that share one of their first shingles.
     keys = _shared(_keys(sketches))
@@ -389,7 +402,6 @@ def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
         dropped(keys)
         keys = _shared(_ordered_keys(docs, shingle, similarity, np.sort(common.view(np.uint64)).view(np.int64)))
     rows = _open(keys.join(nodes.select("id", "m", "a"), "a").select("key", "id", "m", F.col("id").alias("root"), F.lit(False).alias("led")), roots)
-    sets = _sets(docs, sketches, nodes, rows, shingle)
     by_hash = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
     while True:
         outside = rows.filter("root <> most and not led").withColumn("turn", F.row_number().over(by_hash))
@@ -399,12 +411,14 @@ def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
         own = rows.join(leaders, "id").select("key", F.col("id").alias("p"), F.col("m").alias("of"), F.col("root").alias("from"))
         other = rows.filter("not led").select("key", F.col("id").alias("q"), "m", "root")
         fits = (F.col("root") != F.col("from")) & (F.least("m", "of") >= similarity * F.greatest("m", "of") - 1e-9)
-        pairs = written(own.join(other.hint("merge"), "key").filter(fits).select(*_pair("p", "q")).distinct(), "near-pairs")
+        met = own.join(other.hint("merge"), "key").filter(fits).groupBy("p", "q", "m", "of").agg(F.count("*").alias("shared"))
+        pairs = written(met.filter(F.col("shared") >= _least_shared(F.col("m"), F.col("of"), similarity)).select(*_pair("p", "q")).distinct(), "near-pairs")
+        sets = _sets(docs, sketches, nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle)
         found = written(edges.union(_verified(pairs, sets, similarity)), "near-links")
         now = written(components(found, "near-stars"), "near-roots")
         left = rows.join(leaders.withColumn("now", F.lit(True)), "id", "left").select("key", "id", "m", "root", (F.col("led") | F.col("now").isNotNull()).alias("led"))
         left = _open(left, now)
-        for old in (pairs, leaders, rows, roots, edges):
+        for old in (pairs, sets, leaders, rows, roots, edges):
             dropped(old)
         rows, roots, edges = left, now, found
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("node", "root", "least")
