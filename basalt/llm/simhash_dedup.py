@@ -18,9 +18,9 @@ keep_one() leaves one row of each group of texts whose sets of five-word shingle
 Such pairs differ by 10 bits on average, where no ball of half the radius can be enumerated, so balls find the closest of
 them, and what they miss is found exactly by another method: near_groups() joins texts on the rare end of their shingles.
 Of two sets of m and n shingles at similarity t, put in any one order, the first m - ceil(t m) + 1 and
-n - ceil(t n) + 1 must meet. The order is by hash, with shingles that many texts share at the end. Every
-candidate of either kind is verified on the whole sets. Texts that share a shingle are not paired with each other: a few
-leaders at a time meet the rest of a shingle's holders, first of all those outside its largest group,
+n - ceil(t n) + 1 must meet. The order is by hash, with shingles that many texts share at the end; all shingles of all texts are
+counted for it. Every candidate of either kind is verified on the whole sets. Texts that share a shingle are not paired with each
+other: one leader, then two, four and so on meet the rest of a shingle's holders, first of all those outside its largest group,
 until no shingle has two groups with a member that has not led; pairs that share fewer first shingles than their sizes and
 the similarity demand are not looked at. No link is lost, and a group of copies costs little, however large.
 
@@ -48,8 +48,8 @@ SEED = 42
 #: Words of a shingle and least similarity for near_groups() and keep_one().
 WORDS = 5
 SIMILARITY = 0.8
-#: Holders of a shingle that meet all its others in one round.
-LEADERS = 8
+#: Holders of a shingle that meet all its others in the first round; each round has twice as many as the one before.
+LEADERS = 1
 #: A shingle that more texts share goes to the end of the order; beyond MOST_COMMON times as many rows only the more common ones, so
 #: that there are at most so many (8 bytes each, broadcast). The order changes no result.
 COMMON = 8
@@ -244,28 +244,24 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, node (128-bit name of the text's words), fp, m (distinct shingles) and first (bytes of _first()) for each row.
-
-    first is null where the worker has sent it for the node before.
-    """
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node (128-bit name of the text's words), fp, m (distinct shingles) and new (the worker has not met the node before) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[str] = set()
-        none = np.zeros(0, np.uint64)
-        types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
+        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_())
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(1):
                 node, fp, found = _sketch(text.as_py(), shingle)
-                for column, value in zip(out, (node, fp, len(found), None if node in sent else _first(found, similarity, none).tobytes()), strict=True):
+                for column, value in zip(out, (node, fp, len(found), node not in sent), strict=True):
                     column.append(value)
                 sent.add(node)
             if len(sent) > SENT:
                 sent = set()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "node", "fp", "m", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "node", "fp", "m", "new"])
 
-    return written(_rows(docs).mapInArrow(run, "doc_id bigint, node string, fp bigint, m int, first binary"), "near-sketches")
+    return written(_rows(docs).mapInArrow(run, "doc_id bigint, node string, fp bigint, m int, new boolean"), "near-sketches")
 
 
 def _short(node: str) -> int:
@@ -273,22 +269,36 @@ def _short(node: str) -> int:
     return int(node[:16], 16) - (int(node[0], 16) >> 3 << 64)
 
 
-def _keys(sketches: DataFrame) -> DataFrame:
-    """key and a (short node) for the first shingles of all texts, by hash alone."""
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles of more than COMMON texts, ascending, at most MOST_COMMON of them: beyond that the more common ones.
+
+    A text counts once for each worker that meets it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[str] = set()
         for batch in batches:
-            keys = [np.frombuffer(f.as_py(), np.int64) for f in batch.column(1)]
-            names = [np.full(len(k), _short(n), np.int64) for k, n in zip(keys, batch.column(0).to_pylist(), strict=True)]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "a"])
+            keys = [np.zeros(0, np.uint64)]
+            for text in batch.column(1):
+                node, _, found = _sketch(text.as_py(), shingle)
+                if node not in sent:
+                    keys.append(found)
+                sent.add(node)
+            if len(sent) > SENT:
+                sent = set()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
 
-    return sketches.filter("first is not null").select("node", "first").mapInArrow(run, "key bigint, a bigint")
+    counted = _rows(docs).mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n"))
+    counted = written(counted.filter(F.col("n") > COMMON), "near-common")
+    limit = max(COMMON, -(-(counted.agg(F.sum("n")).first()[0] or 0) // MOST_COMMON))
+    found = counted.filter(F.col("n") > limit).select("key").toPandas()["key"].to_numpy(np.int64)
+    dropped(counted)
+    return np.sort(found.view(np.uint64))
 
 
 def _ordered_keys(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """As _keys(), with the shingles `common` at the end of the order; texts are read again."""
-    shared = docs.sparkSession.sparkContext.broadcast(common.view(np.uint64))
+    """key and a (short node) for the first shingles of all texts, with the shingles `common` at the end of the order."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, sent = shared.value, set()
@@ -356,7 +366,7 @@ def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, ids: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in found], pa.string()), pa.array([h.tobytes() for *_, h in found], pa.binary())], names=["node", "s"])
 
     wanted = written(ids.select("id").distinct().join(nodes, "id").select("id", "node"), "near-wanted")
-    rows = written(sketches.filter("first is not null").join(wanted, "node").select(F.col("doc_id").alias("of")).distinct(), "near-wanted-rows")
+    rows = written(sketches.filter("new").join(wanted, "node").select(F.col("doc_id").alias("of")).distinct(), "near-wanted-rows")
     few = rows.count() <= BROADCAST_IDS
     texts = _rows(docs)
     texts = texts.join(F.broadcast(rows) if few else rows.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
@@ -382,7 +392,7 @@ def _pair(a: str, b: str) -> list[Column]:
 def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable over pairs of texts at the similarity or more) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    sketches = _sketches(docs, shingle, similarity)
+    sketches = _sketches(docs, shingle)
     nodes = sketches.groupBy("node", "fp", "m").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
     nodes = written(nodes.withColumn("a", F.conv(F.substring("node", 1, 16), 16, -10).cast("bigint")), "near-nodes")
     # Balls of fingerprints.
@@ -391,21 +401,16 @@ def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
     close = met.select(*_pair("p", "q")).union(nodes.join(points, "fp").filter("id <> point").select(*_pair("id", "point")))
     close = written(close.distinct(), "near-close")
     sets = _sets(docs, sketches, nodes, close.select(F.explode(F.array("a", "b")).alias("id")), shingle)
-    edges = written(_verified(close, sets, similarity), "near-links")
+    roots = written(components(_verified(close, sets, similarity), "near-stars"), "near-roots")
     dropped(sets)
-    roots = written(components(edges, "near-stars"), "near-roots")
     # What differs by more: texts that share one of their first shingles.
-    keys = _shared(_keys(sketches))
-    limit = max(COMMON, -(-keys.count() // MOST_COMMON))
-    common = keys.groupBy("key").count().filter(F.col("count") > limit).select("key").toPandas()["key"].to_numpy(np.int64)
-    if len(common):
-        dropped(keys)
-        keys = _shared(_ordered_keys(docs, shingle, similarity, np.sort(common.view(np.uint64)).view(np.int64)))
+    keys = _shared(_ordered_keys(docs, shingle, similarity, _common(docs, shingle)))
     rows = _open(keys.join(nodes.select("id", "m", "a"), "a").select("key", "id", "m", F.col("id").alias("root"), F.lit(False).alias("led")), roots)
     by_hash = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    turns = LEADERS
     while True:
         outside = rows.filter("root <> most and not led").withColumn("turn", F.row_number().over(by_hash))
-        leaders = written(outside.filter(F.col("turn") <= LEADERS).select("id").distinct(), "near-leaders")
+        leaders = written(outside.filter(F.col("turn") <= turns).select("id").distinct(), "near-leaders")
         if leaders.isEmpty():
             break
         own = rows.join(leaders, "id").select("key", F.col("id").alias("p"), F.col("m").alias("of"), F.col("root").alias("from"))
@@ -414,19 +419,28 @@ def near_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
         met = own.join(other.hint("merge"), "key").filter(fits).groupBy("p", "q", "m", "of").agg(F.count("*").alias("shared"))
         pairs = written(met.filter(F.col("shared") >= _least_shared(F.col("m"), F.col("of"), similarity)).select(*_pair("p", "q")).distinct(), "near-pairs")
         sets = _sets(docs, sketches, nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")), shingle)
-        found = written(edges.union(_verified(pairs, sets, similarity)), "near-links")
-        now = written(components(found, "near-stars"), "near-roots")
+        now = written(_joined(roots, _verified(pairs, sets, similarity)), "near-roots")
         left = rows.join(leaders.withColumn("now", F.lit(True)), "id", "left").select("key", "id", "m", "root", (F.col("led") | F.col("now").isNotNull()).alias("led"))
         left = _open(left, now)
-        for old in (pairs, sets, leaders, rows, roots, edges):
+        for old in (pairs, sets, leaders, rows, roots):
             dropped(old)
-        rows, roots, edges = left, now, found
+        rows, roots, turns = left, now, 2 * turns
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "root").select("node", "component_id"), "near-components")
     return sketches.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after the links (a, b) of nodes; only the links of unlike roots are worked on, as links of roots."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rooted = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rooted = rooted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    merged = written(components(rooted, "near-stars").withColumnRenamed("root", "onto"), "near-merged")
+    kept = roots.join(merged.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
+    return kept.union(merged.join(roots, "node", "left_anti").select("node", F.col("onto").alias("root")))
+
+
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (key, id, m, root, led) with their roots brought up to date and most, the root that has most of a key's rows; of keys with one root, none.
 
