@@ -89,7 +89,8 @@ TEMPLATES: dict[str, str] = {name: f"{name}({{*}})" for name in _SAME} | {
     "time_format": "date_format({0}, {pattern1})",
     "str_to_date": "to_date({0}, {pattern1})",
     "strftime": "date_format({1}, {pattern0})",
-    "from_unixtime": "from_unixtime({0})",
+    # Spark puts a plus before years of five digits.
+    "from_unixtime": "trim(LEADING '+' FROM from_unixtime({0}))",
     "unix_timestamp": "unix_timestamp({0})",
     "makedate": "date_add(make_date({0}, 1, 1), {1} - 1)",
     "maketime": "format_string('%02d:%02d:%02d', {0}, {1}, {2})",

@@ -71,6 +71,11 @@ def test_merge_takes_the_last_change_and_keeps_unknown(spark):
     assert [r.n for r in dml.unique_violations(target.unionByName(target), ["k"]).collect()] == [2, 2]
 
 
+def test_times_of_late_years_have_no_sign(spark):
+    row = one(spark, call("from_unixtime", "CAST(3000000 AS BIGINT) * 86399").alias("late"), call("from_unixtime", "0").alias("first"), call("from_unixtime", "CAST(NULL AS BIGINT)").alias("none"))
+    assert tuple(row) == ("10183-08-17 06:40:00", "1970-01-01 00:00:00", None)
+
+
 def test_vector_edge_cases(spark):
     a = F.array(F.lit(1.0), F.lit(0.0))
     row = one(spark, vector.cosine_similarity(a, a).alias("s"), vector.cosine_similarity(a, F.array(F.lit(1.0))).alias("m"), vector.cosine_similarity(a, F.array(F.lit(0.0), F.lit(0.0))).alias("z"), vector.similarity(a, a, "euclidean").alias("e"))
