@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +111,21 @@ OPERATORS["text_by_source"] = Operator(
 
 def hash_embedding(text: Column, dimensions: int = 64) -> Column:
     """A repeatable embedding: every token adds or takes one at the place of its hash, and the sum is brought to length one (zeros stay)."""
-    places = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("i"), F.when(F.getbit(F.xxhash64(w, F.lit(1)), F.lit(0)) == 1, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(places, lambda p: p["i"] == i), F.lit(0.0), lambda s, p: s + p["s"]))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+    return embed_tokens(tokens(F.coalesce(text, F.lit(""))), dimensions)
+
+
+def embed_tokens(words: Column, dimensions: int = 64) -> Column:
+    """hash_embedding() of a text's tokens: they are hashed where they are cut, and their places are added up in one pass by an Arrow-batched function."""
+
+    @F.arrow_udf("array<double>")
+    def summed(places: pa.Array) -> pa.Array:
+        codes, rows = places.flatten().to_numpy(zero_copy_only=False), len(places)
+        row = np.repeat(np.arange(rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        raw = np.bincount(row * dimensions + codes // 2, codes % 2 * 2.0 - 1, rows * dimensions).reshape(rows, dimensions)
+        length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        return pa.ListArray.from_arrays(np.arange(rows + 1, dtype="int32") * dimensions, (raw / np.where(length > 0, length, 1)).ravel())
+
+    return summed(F.transform(words, lambda w: 2 * F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int") + F.getbit(F.xxhash64(w, F.lit(1)), F.lit(0))))
 
 
 def text_score(text: Column, query: str) -> Column:
@@ -165,7 +178,7 @@ def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SCORE = f"len(list_intersect({_TOKENS}, ['license', 'released', 'under'])) / 3.0::DOUBLE"
 OPERATORS["text_hash_embedding"] = Operator(
-    lambda spark, d: _docs(spark, d).select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("n"), hash_embedding(F.col("text")).alias("v")).select("doc_id", F.size("v").alias("size"), F.when(F.col("n") == 0, norm(F.col("v")) == 0).otherwise(F.round(norm(F.col("v")), 6).isin(0.0, 1.0)).alias("unit")),
+    lambda spark, d: _docs(spark, d).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("n"), embed_tokens(F.col("t")).alias("v")).select("doc_id", F.size("v").alias("size"), F.when(F.col("n") == 0, norm(F.col("v")) == 0).otherwise(F.round(norm(F.col("v")), 6).isin(0.0, 1.0)).alias("unit")),
     "SELECT doc_id, 64 AS size, true AS unit FROM documents", "2.10")
 OPERATORS["document_hybrid_search"] = Operator(
     lambda spark, d: document_search(_managed(spark, d), load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "License released under", list(load(spark, d, "embeddings").filter("vec_id = 0").first().embedding), 20, status="ACTIVE").select("id", F.round("score", 6).alias("score")),

@@ -1,6 +1,7 @@
 """Null logic, edge cases and round trips of the library's own functions."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,24 @@ def test_text(spark):
     assert got == ["hello", "world", "test"]
 
 
+def test_hash_embedding_takes_time_by_words_only(spark):
+    docs = spark.range(300).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(i, "id"), F.lit(700)).cast("string"))), " ").alias("text"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "the of"), (-4, "Alpha alpha beta")], "id bigint, text string")
+    docs = docs.unionByName(odd)
+    began = time.time()
+    got = {r.id: r.v for r in docs.select("id", text.hash_embedding(F.col("text")).alias("v")).collect()}
+    assert time.time() - began < 30
+    words = docs.filter("id < 3").select("id", F.explode(text.tokens(F.col("text"))).alias("w"))
+    places = words.selectExpr("id", "CAST(pmod(xxhash64(w), 64) AS INT) AS i", "if(getbit(xxhash64(w, 1), 0) = 1, 1, -1) AS s").groupBy("id", "i").agg(F.sum("s").alias("s")).collect()
+    want = {i: [0.0] * 64 for i in [*range(3), *range(-4, 0)]}
+    for r in places:
+        want[r.id][r.i] = float(r.s)
+    for i, v in want.items():
+        length = sum(x * x for x in v) ** 0.5 or 1.0
+        assert got[i] == pytest.approx([x / length for x in v], abs=1e-12)
+    assert len(got) == 304
+
+
 def test_inverted_lists_reach_recall_by_default(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     queries = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
