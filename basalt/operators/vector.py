@@ -1,16 +1,22 @@
 """Vector metrics, exact and inverted-list search, hybrid search and score fusion.
 
-Vectors are array<float> columns; arithmetic is in doubles and stays in the JVM.
+Vectors are array<float> columns; arithmetic is in doubles. Searches of one query stay in the JVM; those of many queries
+run the kernel of nearest.py over Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from basalt.operators import nearest
 from basalt.plans.registry import OPERATORS, Operator
 from basalt.session import load
 from basalt.sources.shared import stored
@@ -72,18 +78,43 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     Queries are a stated set, searched in broadcast blocks of about QUERY_BLOCK against all vectors; each task keeps its own
     best k per query before anything is shuffled.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric!r} is none of {METRICS}")
     rows = vectors.filter(predicate) if predicate else vectors
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    if blocks > 1:
-        block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-        return reduce(DataFrame.unionByName, [_knn_block(rows, queries.filter(block == i), k, metric) for i in range(blocks)])
-    return _knn_block(rows, queries, k, metric)
 
+    def block(parts: list[nearest.Queries], table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            v, fits = nearest.matrix(table.column("v").combine_chunks(), part.q.shape[1])
+            yield from _found(part, table, nearest.nearest(part, v, fits, k, metric))
 
-def _knn_block(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    pairs = rows.crossJoin(F.broadcast(queries)).withColumn("distance", distance(F.col("v"), F.col("q"), metric))
-    own = Window.partitionBy("qid").orderBy("distance", "id")
-    return pairs.select("qid", "id", "distance").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+    return _best(rows.select("id", "v"), queries, k, lambda parts: parts, block)
+
+
+def _found(part: nearest.Queries, table: pa.Table, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for qi, ri, distance in found:
+        yield pa.RecordBatch.from_arrays([part.ids.take(pa.array(qi)), table.column("id").combine_chunks().take(pa.array(ri)), pa.array(distance)], ["qid", "id", "distance"])
+
+
+def _best(rows: DataFrame, queries: DataFrame, k: int, prepared: Callable, block: Callable) -> DataFrame:
+    """qid, id, distance, rank: the best k that block(queries, rows) finds in blocks of the rows, for prepared() blocks of the queries."""
+    context = rows.sparkSession.sparkContext
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    count = -(-queries.count() // QUERY_BLOCK)
+    mine = F.pmod(F.xxhash64("qid"), F.lit(max(count, 1)))
+
+    def one(i: int) -> DataFrame:
+        wanted = queries.select("qid", "q")
+        shared = context.broadcast(prepared(nearest.by_length((wanted.filter(mine == i) if count > 1 else wanted).toArrow())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in nearest.blocks(batches):
+                yield from block(shared.value, table)
+
+        found = rows.mapInArrow(run, schema)
+        own = Window.partitionBy("qid").orderBy("distance", "id")
+        return found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [one(i) for i in range(max(count, 1))])
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", predicate: str | None = None) -> DataFrame:

@@ -3,13 +3,16 @@
 import json
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basalt import dialect
 from basalt.functions import json_paths
 from basalt.functions.mysql import call, java_pattern, register
-from basalt.operators import audit, dml, geo, graph, metadata, scalar, security, text, vector
+from basalt.operators import audit, dml, geo, graph, metadata, nearest, scalar, security, text, vector
 from basalt.operators.catalog import Catalog, ConstraintError
 from basalt.operators.quantified import quantified
 from basalt.plans import unified
@@ -223,6 +226,46 @@ def test_queries_in_blocks_find_the_same(spark, monkeypatch):
     assert key(vector.knn(v, queries, 4, "euclidean")) == whole and len(whole) == 4 * 43
 
 
+def _odd_vectors(spark):
+    """Copies, ties, other lengths, zeros, an empty and a null vector, null and repeated ids."""
+    v = spark.range(400).select("id", F.array(*[(F.pmod(F.xxhash64(F.col("id") % 300, F.lit(i)), F.lit(7)) - 3).cast("float") for i in range(6)]).alias("v"))
+    odd = [(None, [1.0] * 6), (-1, [0.0] * 6), (-2, [1.0, 2.0]), (-3, []), (-4, None), (3, [1.0] * 6), (3, [1.0] * 6), (-5, [1e30] * 6)]
+    return v.unionByName(spark.createDataFrame(odd, "id bigint, v array<float>"))
+
+
+@pytest.mark.parametrize("metric", vector.METRICS)
+def test_knn_gives_the_distances_of_the_expressions(spark, metric, monkeypatch):
+    v = _odd_vectors(spark)
+    queries = v.filter("id % 7 = 0 OR id < 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    order = Window.partitionBy("qid").orderBy("distance", "id")
+    pairs = v.crossJoin(queries).select("qid", "id", vector.distance(F.col("v"), F.col("q"), metric).alias("distance"))
+    key = lambda df: sorted((r.qid, r["rank"], r.id is not None, r.id, r.distance + 0.0) for r in df.collect())
+    want = key(pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 9"))
+    assert key(vector.knn(v, queries, 9, metric)) == want and len(want) == 9 * queries.count()
+    monkeypatch.setattr(nearest, "AT_ONCE", 7)
+    assert nearest.BLOCK > 0 and key(vector.knn(v.repartition(3), queries, 9, metric)) == want
+
+
+def test_kernel_finds_the_same_in_small_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    v, fits = rng.integers(-2, 3, (500, 4)).astype(float), np.ones(500, bool)
+    part = nearest.Queries(pa.array(range(40)), v[:40])
+    gaps = np.sqrt(((v[:40, None] - v) ** 2).sum(axis=2))
+    want = [[int(i) for i in np.lexsort((np.arange(500), row))[:6]] for row in gaps]
+    for size in (500, 3000, 4_000_000):
+        monkeypatch.setattr(nearest, "BLOCK", size)
+        got = [(int(q), int(r)) for qi, ri, _ in nearest.nearest(part, v, fits, 6, "euclidean") for q, r in zip(qi, ri, strict=True)]
+        assert got == [(q, r) for q, rows in enumerate(want) for r in rows]
+
+
+def test_searches_of_many_queries_cost_little_by_pair(spark):
+    v = spark.range(20_000).select("id", F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).cast("float") for i in range(64)]).alias("v")).repartition(4)
+    queries = v.filter("id % 4 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    began = time.time()
+    exact = vector.knn(v, queries, 10, "euclidean").cache()
+    assert exact.count() == 50_000 and time.time() - began < 30
+
+
 def test_search_texts_agrees_with_the_index(spark):
     docs = spark.createDataFrame([(1, "The LICENSE was released, under it"), (2, "licensed under released"), (3, None), (4, ""), (5, "under license: released!")], "doc_id bigint, text string")
     for query in ("license released under", "under", "the", "none of these words"):
