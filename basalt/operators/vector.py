@@ -167,10 +167,29 @@ class InvertedLists:
 
     def search_all(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
         """search() for each of queries(qid, q), as in knn() a stated set: qid, id, distance, rank."""
-        probes = probes or self.probes
-        pairs = self.table.join(F.broadcast(self._wanted(queries, probes)), "list").select("qid", "id", distance(F.col("v"), F.col("q"), "euclidean").alias("distance"))
-        own = Window.partitionBy("qid").orderBy("distance", "id")
-        return pairs.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+        return self._search_all(queries, k, probes, ["id", "v", "list"], lambda table: {})
+
+    def _search_all(self, queries: DataFrame, k: int, probes: int | None, columns: list[str], more: Callable) -> DataFrame:
+        centroids, probes = np.array(self.centroids), probes or self.probes
+
+        def prepared(parts: list[nearest.Queries]) -> list[nearest.Queries]:
+            """The parts with the lists that are nearest to each query."""
+            for part in parts:
+                far = np.full((len(part.q), len(centroids)), np.inf)
+                if part.q.shape[1] == centroids.shape[1]:
+                    far = np.stack([nearest.exact(part.q, np.broadcast_to(c, part.q.shape), "euclidean") for c in centroids], axis=1)
+                part.probed = np.zeros(far.shape, bool)
+                np.put_along_axis(part.probed, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+            return parts
+
+        def block(parts: list[nearest.Queries], table: pa.Table) -> Iterator[pa.RecordBatch]:
+            lists, given = table.column("list").to_numpy(), more(table)
+            for part in parts:
+                v, fits = nearest.matrix(table.column("v").combine_chunks(), part.q.shape[1])
+                rows = given if part.q.shape[1] == centroids.shape[1] else {}
+                yield from _found(part, table, nearest.nearest(part, v, fits, k, "euclidean", lists, **rows))
+
+        return _best(self.table.select(*columns), queries, k, prepared, block)
 
     def _wanted(self, queries: DataFrame, probes: int) -> DataFrame:
         """queries with a row for each list that they probe."""

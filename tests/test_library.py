@@ -266,6 +266,20 @@ def test_searches_of_many_queries_cost_little_by_pair(spark):
     assert exact.count() == 50_000 and time.time() - began < 30
 
 
+def test_searches_by_lists_agree_one_by_one(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.distance) for r in df.collect())
+    lists = vector.InvertedLists(v, 16)
+    assert key(lists.search_all(queries, 10, 16)) == key(vector.knn(v, queries, 10, "euclidean"))
+    for probes in (1, 5):
+        for qid in (20, 480):
+            alone = lists.search(list(queries.filter(F.col("qid") == qid).first().q), 10, probes).collect()
+            assert [(r.id, r.distance) for r in alone] == [x[2:] for x in key(lists.search_all(queries, 10, probes)) if x[0] == qid]
+    plan = lists.search_all(queries, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "MapInArrow" in plan
+
+
 def test_search_texts_agrees_with_the_index(spark):
     docs = spark.createDataFrame([(1, "The LICENSE was released, under it"), (2, "licensed under released"), (3, None), (4, ""), (5, "under license: released!")], "doc_id bigint, text string")
     for query in ("license released under", "under", "the", "none of these words"):
