@@ -191,11 +191,6 @@ class InvertedLists:
 
         return _best(self.table.select(*columns), queries, k, prepared, block)
 
-    def _wanted(self, queries: DataFrame, probes: int) -> DataFrame:
-        """queries with a row for each list that they probe."""
-        near = F.array_sort(F.array(*[F.struct(distance(F.col("q"), F.lit(c), "euclidean").alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)]))
-        return queries.select("*", F.explode(F.slice(near, 1, probes)).alias("near")).withColumn("list", F.col("near.list")).drop("near")
-
 
 class QuantizedLists(InvertedLists):
     """IVF-PQ: inverted lists whose entries carry product codes; codes choose `keep` candidates per query, their vectors rank them."""
@@ -208,16 +203,18 @@ class QuantizedLists(InvertedLists):
         return vectors.withColumn("codes", product_codes(F.col("v"), self.codebooks))
 
     def search_all(self, queries: DataFrame, k: int = 10, probes: int | None = None, keep: int | None = None) -> DataFrame:
-        """qid, id, distance, rank: the best k of the `keep` (30 * k) nearest by codes."""
-        keep = keep or 30 * k
-        wanted = self._wanted(queries, probes or self.probes).withColumn("tables", distance_tables(F.col("q"), self.codebooks))
-        terms = F.zip_with("tables", "codes", lambda t, c: F.get(t, c))
-        rough = self.table.join(F.broadcast(wanted), "list").withColumn("rough", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
-        first = Window.partitionBy("qid").orderBy("rough", "id")
-        kept = rough.select("qid", "q", "id", "v", "rough").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
-        own = Window.partitionBy("qid").orderBy("distance", "id")
-        exact = kept.select("qid", "id", distance(F.col("v"), F.col("q"), "euclidean").alias("distance"))
-        return exact.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+        """qid, id, distance, rank: the best k of the `keep` (30 * k) nearest by codes, which every block of rows picks for itself.
+
+        So the `keep` nearest of all rows are among those that vectors rank, however the rows lie, and no vector leaves its block.
+        """
+        books = [np.array(book) for book in self.codebooks]
+
+        def decoded(table: pa.Table) -> dict:
+            """The distance to what codes stand for is the sum that the tables of distances give."""
+            codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, len(books))
+            return {"decoded": np.concatenate([book[codes[:, m]] for m, book in enumerate(books)], axis=1), "keep": keep or 30 * k}
+
+        return self._search_all(queries, k, probes, ["id", "v", "list", "codes"], decoded)
 
 
 def train_codebooks(vectors: DataFrame, parts: int, words: int, sample: int = 20_000, seed: int = 42) -> list[list[list[float]]]:

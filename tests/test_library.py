@@ -280,6 +280,17 @@ def test_searches_by_lists_agree_one_by_one(spark):
     assert "BroadcastHashJoin" not in plan and "MapInArrow" in plan
 
 
+def test_searches_by_codes_shuffle_no_vectors(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.distance) for r in df.collect())
+    exact, codes = vector.knn(v, queries, 10, "euclidean"), vector.QuantizedLists(v, 16)
+    assert vector.recall(codes.search_all(queries, 10), exact) >= 0.9
+    assert key(codes.search_all(queries, 10, 16, 500)) == key(exact)
+    plan = codes.search_all(queries, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_search_texts_agrees_with_the_index(spark):
     docs = spark.createDataFrame([(1, "The LICENSE was released, under it"), (2, "licensed under released"), (3, None), (4, ""), (5, "under license: released!")], "doc_id bigint, text string")
     for query in ("license released under", "under", "the", "none of these words"):
