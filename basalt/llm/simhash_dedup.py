@@ -56,6 +56,8 @@ COMMON = 8
 MOST_COMMON = 1_000_000
 #: Texts whose shingles a worker knows it has sent; it starts anew when they are so many.
 SENT = 200_000
+#: Shingles that a worker packs at once to be counted; a few arrays of so many stay in its memory.
+COUNTED = 250_000
 RADIUS = 3
 #: Words whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 1 << 15
@@ -231,11 +233,13 @@ def _sketch(text: str | None, shingle: int) -> tuple[str, int, np.ndarray]:
     return xxhash.xxh3_128_hexdigest(b" ".join(words)), fp - (fp >> 63 << 64), found
 
 
-def _first(hashes: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
-    """The shingles of which one is common to any two sets at the similarity, in the order of (is in late, hash)."""
+def _first(hashes: np.ndarray, similarity: float, late: tuple[np.ndarray, int]) -> np.ndarray:
+    """The shingles of which one is common to any two sets at the similarity, in the order of (is in late, hash); late: see _common()."""
     n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
-    if len(late):
-        hot = np.isin(hashes, late, assume_unique=True)
+    heads, shift = late
+    if len(heads):
+        own = hashes >> np.uint64(shift)
+        hot = heads[np.minimum(np.searchsorted(heads, own), len(heads) - 1)] == own
         hashes = np.concatenate([hashes[~hot], hashes[hot]])
     return hashes[:n]
 
@@ -269,34 +273,66 @@ def _short(node: str) -> int:
     return int(node[:16], 16) - (int(node[0], 16) >> 3 << 64)
 
 
-def _common(docs: DataFrame, shingle: int) -> np.ndarray:
-    """The shingles of more than COMMON texts, ascending, at most MOST_COMMON of them: beyond that the more common ones.
+def _packed(heads: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Heads of shingles by part (all but their last 32 bits): the gaps of each part's sorted rest, byte by byte, so that the upper bytes are mostly zeros."""
+    heads = np.sort(heads)
+    ends = np.flatnonzero(np.diff(heads >> np.uint64(32), append=np.uint64(1 << 63))) + 1
+    for start, end in zip([0, *ends[:-1]], ends, strict=False):  # of nothing there is no end
+        part, rest = heads[start] >> np.uint64(32), heads[start:end].astype(np.uint32)
+        gaps = np.diff(rest, prepend=np.uint32(0)).astype("<u4")
+        yield int(part), gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    A text counts once for each worker that meets it.
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint32)
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
+    """The heads of shingles that more than COMMON texts have, ascending, at most MOST_COMMON of them: beyond that the more common ones; and the bits that a head lacks.
+
+    A head is a shingle's first 40 bits, or more where partitions are many: any order will do that is the same for all texts, so shingles
+    that share a head may be counted together. A text counts once for each worker that meets it.
     """
+    bits = max(8, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    shift = 32 - bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[str] = set()
+
+        def batch_of(keys: list[np.ndarray]) -> pa.RecordBatch:
+            rows = list(_packed(np.concatenate(keys) >> np.uint64(shift)))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["part", "rest"])
+
         for batch in batches:
-            keys = [np.zeros(0, np.uint64)]
+            keys, size = [np.zeros(0, np.uint64)], 0
             for text in batch.column(1):
                 node, _, found = _sketch(text.as_py(), shingle)
                 if node not in sent:
                     keys.append(found)
+                    size += len(found)
                 sent.add(node)
+                if size > COUNTED:
+                    yield batch_of(keys)
+                    keys, size = [np.zeros(0, np.uint64)], 0
             if len(sent) > SENT:
                 sent = set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+            yield batch_of(keys)
+
+    def counts(group: pa.Table) -> pa.Table:
+        heads, n = np.unique(np.concatenate([_unpacked(x.as_py()) for x in group.column("rest")]), return_counts=True)
+        heads = (heads.astype(np.uint64) | np.uint64(group.column("part")[0].as_py()) << np.uint64(32))[n > COMMON]
+        return pa.table({"key": pa.array(heads.view(np.int64)), "n": pa.array(n[n > COMMON])})
 
-    counted = _rows(docs).mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n"))
-    counted = written(counted.filter(F.col("n") > COMMON), "near-common")
+    packed = _rows(docs).mapInArrow(run, "part int, rest binary")
+    counted = written(packed.groupBy("part").applyInArrow(counts, "key bigint, n bigint"), "near-common")
     limit = max(COMMON, -(-(counted.agg(F.sum("n")).first()[0] or 0) // MOST_COMMON))
     found = counted.filter(F.col("n") > limit).select("key").toPandas()["key"].to_numpy(np.int64)
     dropped(counted)
-    return np.sort(found.view(np.uint64))
+    return np.sort(found.view(np.uint64)), shift
 
 
-def _ordered_keys(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+def _ordered_keys(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, int]) -> DataFrame:
     """key and a (short node) for the first shingles of all texts, with the shingles `common` at the end of the order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 

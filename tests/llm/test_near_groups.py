@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from basalt.llm import simhash_dedup as op
@@ -76,6 +77,22 @@ def test_common_shingles_go_to_the_end_of_the_order(spark, monkeypatch):
     check(spark, corpus(2))
 
 
+def test_shingles_are_counted_in_few_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    heads = rng.integers(0, 1 << 40, 200_000, dtype=np.uint64)
+    heads[:5] = heads[5:10]
+    packed = dict(op._packed(heads))
+    back = np.concatenate([op._unpacked(rest).astype(np.uint64) | np.uint64(part) << np.uint64(32) for part, rest in packed.items()])
+    assert (back == np.sort(heads)).all() and list(op._packed(heads[:0])) == []
+    monkeypatch.setattr(op, "COMMON", 2)
+    monkeypatch.setattr(op, "COUNTED", 50)
+    frame = spark.createDataFrame(corpus(6), "doc_id bigint, text string").repartition(1)
+    sets = {node: found for _, t in corpus(6) for node, _, found in [op._sketch(t, 5)]}
+    late, shift = op._common(frame, 5)
+    keys, n = np.unique(np.concatenate(list(sets.values())) >> np.uint64(shift), return_counts=True)
+    assert list(late) == list(keys[n > 2]) and shift == 24
+
+
 def test_very_long_texts_and_empty_table(spark):
     rng = random.Random(4)
     long = [str(rng.random()) for _ in range(op.CHUNK + 5000)]
